@@ -8,14 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from papyra.llm.common import load
 from papyra.llm.decontaminate import leak_report
+from papyra.llm.language import identify_languages
 from papyra.llm.lines import line_bitmaps
 from papyra.llm.mixing import mix
+from papyra.llm.quality import quality_scores
+from papyra.llm.toxicity import grade_toxicity
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(load(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -25,7 +40,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language": op4_language,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
 }
