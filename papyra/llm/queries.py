@@ -13,6 +13,11 @@ from papyra.llm.lines import line_bitmaps
 from papyra.llm.mixing import mix
 from papyra.llm.quality import quality_scores
 from papyra.llm.toxicity import grade_toxicity
+from papyra.llm.urls import judge_urls
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(load(spark, sf_dir, "pages"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +45,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_urls": op2_urls,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
