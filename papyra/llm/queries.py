@@ -11,6 +11,7 @@ from papyra.llm.decontaminate import leak_report
 from papyra.llm.language import identify_languages
 from papyra.llm.lines import line_bitmaps
 from papyra.llm.mixing import mix
+from papyra.llm.neardup import duplicate_classes
 from papyra.llm.quality import quality_scores
 from papyra.llm.toxicity import grade_toxicity
 from papyra.llm.urls import judge_urls
@@ -44,6 +45,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_bitmaps(load(spark, sf_dir, "documents")).drop("keep_bitmap")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_classes(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_urls": op2_urls,
     "op4_language": op4_language,
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {
