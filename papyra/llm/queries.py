@@ -10,6 +10,7 @@ from papyra.llm.common import load
 from papyra.llm.decontaminate import leak_report
 from papyra.llm.language import identify_languages
 from papyra.llm.lines import line_bitmaps
+from papyra.llm.lm import score_texts
 from papyra.llm.mixing import mix
 from papyra.llm.neardup import duplicate_classes
 from papyra.llm.quality import quality_scores
@@ -17,6 +18,10 @@ from papyra.llm.toxicity import grade_toxicity
 from papyra.llm.urls import judge_urls
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(load(spark, sf_dir, "documents"))
+
+
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(load(spark, sf_dir, "pages"))
 
@@ -50,6 +55,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_urls": op2_urls,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
