@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from papyra.llm.audio import clips, grouped_matches, match_recordings
 from papyra.llm.common import load
 from papyra.llm.decontaminate import leak_report
 from papyra.llm.language import identify_languages
@@ -26,6 +27,10 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(load(spark, sf_dir, "pages"))
 
 
+def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_matches(match_recordings(clips(load(spark, sf_dir, "embeddings"))))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(load(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_urls": op2_urls,
+    "op3_audio": op3_audio,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
