@@ -6,11 +6,13 @@ fixed number of hashed cells.  Texts with the same shingles are one node.  Impro
 consistent weighted sampling gives each node BANDS x ROWS samples; nodes that agree on all
 samples of a band share a bucket.  Candidates are verified by weighted Jaccard similarity on the full shingle sets.
 
-Buckets are never expanded into pairs.  First, every node of the first bands' buckets is
-compared with its bucket's smallest node.  Then, in rounds, LEADERS members of each bucket that still holds
-several components are compared with its members in other components, and leave it; the rounds end when no
-bucket holds two components.  So each two nodes of a bucket have been compared, or were in one component
-already.  Pairs whose total weights alone rule out the similarity aren't fetched.  Components come from distributed star contraction.
+Buckets are never expanded into pairs.  A bucket's members, with their shingles, go to one task, or in chunks of
+about GROUP to several; there a member is compared with those that aren't in its component
+yet, through an index of the chunk's shingles, and only links that join components come out.  A few bands go first, and buckets
+that they leave in one component aren't looked at again.  In buckets of several chunks, members outside the largest
+component are then copied to every chunk and compared with all of it, in rounds, until no bucket
+holds two components.  So each two nodes of a bucket have been compared, or were in one component already.
+Components come from distributed star contraction.
 
 Cases.  Null texts and texts without words are alone in their class.  Null ids: such a row belongs
 to its text's class, which is named by the smallest id that isn't null, if any.  Repeated rows fall
@@ -36,8 +38,10 @@ from papyra.llm.merge import SCHEMA, gathered, pack
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
-FIRST_BANDS = 3
-LEADERS = 16
+#: Bands are handled in these steps.
+STEPS = (0, 1, 4, BANDS)
+#: Members of a bucket in one task, about.
+GROUP = 512
 CELL_BITS = 20
 _CELLS = 1 << CELL_BITS
 _BLOCK = 1 << 14
@@ -133,7 +137,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells += np.bincount(np.concatenate(cell), minlength=_CELLS)
     out = np.concatenate([cells, np.zeros(_BLOCK, np.int64)])
     out[_CELLS] = docs
-    yield from pack(out, _BLOCK, TaskContext.get().partitionId() % 16)
+    yield from pack(out, _BLOCK, TaskContext.get().partitionId() % 4)
 
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
@@ -145,18 +149,17 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
 def _signatures(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, total, bands = [], [], []
+            fp, bands = [], []
             for t in text_bytes(b.column(2)):
                 h, n = shingles(t)
                 if not len(h):
-                    fp.append(None), total.append(0.0), bands.append(None)
+                    fp.append(None), bands.append(None)
                     continue
                 w = _weights(h, n, idf.value)
                 fp.append(xxhash.xxh3_64_intdigest(h.tobytes() + n.tobytes()) - (1 << 63))
-                total.append(float(w.sum(dtype=np.float64)))
                 bands.append(band_keys(samples(h, np.log(w).astype(np.float32))))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(fp, pa.int64()), pa.array(total), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "t", "fp", "w", "bands"]
+                [b.column(0), b.column(1), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "t", "fp", "bands"]
             )
 
     return run
@@ -185,25 +188,79 @@ def jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> f
     return float(both / (wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - both))
 
 
-def _verified(idf, similarity: float):
+def linked(fps: list[int], roots: list[int], leads: list[bool], sets: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
+    """Links that join the components of a group: each leader is compared with all members that aren't in its component yet."""
+    n = len(fps)
+    _, label = np.unique(np.array(roots), return_inverse=True)
+    h, w = np.concatenate([x for x, _ in sets]), np.concatenate([x for _, x in sets]).astype(np.float64)
+    owner = np.repeat(np.arange(n), [len(x) for x, _ in sets])
+    total = np.bincount(owner, w, n)
+    by = np.argsort(h, kind="stable")
+    h, w, owner = h[by], w[by], owner[by]
+    out = []
+    done = np.zeros(n, bool)
+    for i in np.flatnonzero(leads):
+        done[i] = True
+        other = (label != label[i]) & ~done
+        if not other.any():
+            continue
+        own, weight = sets[i]
+        lo, hi = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
+        count = hi - lo
+        at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        both = np.bincount(owner[at], np.minimum(np.repeat(weight.astype(np.float64), count), w[at]), n)
+        near = np.flatnonzero(other & (both >= (similarity - 1e-9) * (total[i] + total - both)))
+        for j in near:
+            if label[j] != label[i]:
+                out.append((fps[i], fps[j]))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _linked_groups(idf, similarity: float):
+    """Streams rows sorted by group; a group has about GROUP members and its leaders."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def links() -> pa.RecordBatch:
+            seen = {}
+            for fp, root, lead, h, n in rows:  # a leader is also among the members of one chunk
+                if fp not in seen or lead:
+                    seen[fp] = (root, lead, h, n)
+            got = linked(
+                list(seen), [x[0] for x in seen.values()], [x[1] for x in seen.values()], [_one(x[2], x[3], idf.value) for x in seen.values()], similarity
+            )
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["a", "b"])
+
         for b in batches:
-            ok = [
-                jaccard(*_one(ha, na, idf.value), *_one(hb, nb, idf.value)) >= similarity - 1e-9
-                for ha, na, hb, nb in zip(*(b.column(i).to_pylist() for i in range(2, 6)))
-            ]
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+            for bucket, chunk, *row in zip(*(b.column(i).to_pylist() for i in range(7))):
+                if (bucket, chunk) != key and rows:
+                    yield links()
+                    rows = []
+                key = (bucket, chunk)
+                rows.append(row)
+        if rows:
+            yield links()
 
     return run
 
 
-def _links(pairs: DataFrame, features: DataFrame, idf, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar."""
-    fa = features.select(F.col("fp").alias("a"), F.col("h").alias("ha"), F.col("n").alias("na"))
-    fb = features.select(F.col("fp").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb"))
-    rows = pairs.join(fb, "b").join(fa, "a").select("a", "b", "ha", "na", "hb", "nb")
-    return written(map_arrow(rows, _verified(idf, similarity), "a bigint, b bigint"), "links")
+def _links(rows: DataFrame, features: DataFrame, idf, similarity: float) -> DataFrame:
+    """rows: bucket, chunk, fp, root, lead.  The links that each group's leaders have."""
+    own = features.withColumnRenamed("fp", "f")
+    full = rows.join(own, F.col("fp") == F.col("f")).select("bucket", "chunk", "fp", "root", "lead", "h", "n")
+    grouped = full.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
+    return written(map_arrow(grouped, _linked_groups(idf, similarity), "a bigint, b bigint"), "links")
+
+
+def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows of buckets that hold several components, with each bucket's largest component."""
+    known = members.withColumn("root", F.col("fp"))
+    if roots is not None:
+        known = members.join(roots, F.col("fp") == F.col("node"), "left").select(*members.columns, F.coalesce("root", "fp").alias("root"))
+    sizes = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("k", "root")).alias("giant"))
+    return known.join(sizes.where("parts > 1").select("bucket", "giant"), "bucket")
 
 
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -212,39 +269,41 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     spark = documents.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs.select("text")))  # 4 MB, whatever the input
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sigs = written(map_arrow(docs, _signatures(idf), f"doc_id {kind}, t bigint, fp bigint, w double, bands array<bigint>"), "signatures")
-    nodes = sigs.where("fp IS NOT NULL").groupBy("fp").agg(F.min("t").alias("t"), F.first("w").alias("w"), F.first("bands").alias("bands"))
+    sigs = written(map_arrow(docs, _signatures(idf), f"doc_id {kind}, t bigint, fp bigint, bands array<bigint>"), "signatures")
+    nodes = sigs.where("fp IS NOT NULL").groupBy("fp").agg(F.min("t").alias("t"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
-    buckets = nodes.select("fp", "t", "w", F.posexplode("bands").alias("band", "bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("leader")).where("n > 1").drop("n")
+    buckets = nodes.select("fp", "t", F.posexplode("bands").alias("band", "bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(buckets.join(shared, "bucket"), "members")
     wanted = members.groupBy("fp").agg(F.first("t").alias("wt"))
     rows = docs.select("t", "text").join(wanted.hint("shuffle_hash"), F.col("t") == F.col("wt")).select("fp", "text")
     features = written(map_arrow(rows, _features, "fp bigint, h binary, n binary").dropDuplicates(["fp"]), "features")
+    members = members.select("bucket", "band", "size", "fp")
+
+    links, roots = None, None
+    chunk = F.pmod(F.xxhash64("fp"), F.ceil(F.col("size") / GROUP)).cast("int").alias("chunk")
 
-    leaders = members.select(F.col("leader").alias("a"), F.col("fp").alias("b"), "band", F.col("w").alias("wb"))
-    weights = nodes.select(F.col("fp").alias("a"), F.col("w").alias("wa"))
-    pairs = leaders.where((F.col("a") != F.col("b")) & (F.col("band") < FIRST_BANDS)).groupBy("a", "b").agg(F.first("wb").alias("wb"))
-    near = f"least(wa, wb) >= {similarity} * greatest(wa, wb) * (1 - 1e-6)"
-    links = _links(pairs.join(weights, "a").where(near).select("a", "b"), features, idf, similarity)
-    roots = components(links)
-    left = members.select("bucket", "fp", "w")
+    def add(new: DataFrame) -> None:
+        nonlocal links, roots
+        if roots is None or not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            roots = components(links)
+
+    for lo, hi in zip(STEPS, STEPS[1:]):  # what the first bands join needn't be compared again
+        some = _open(members.where((F.col("band") >= lo) & (F.col("band") < hi)), roots)
+        add(_links(some.select("bucket", chunk, "fp", "root", F.lit(True).alias("lead")), features, idf, similarity))
+    left = members.where(F.col("size") > GROUP)  # compared within chunks only, so far
     while True:
-        known = left.join(roots, F.col("fp") == F.col("node"), "left").select("bucket", "fp", "w", F.coalesce("root", "fp").alias("root"))
-        open_ = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        known = written(known.join(open_, "bucket"), "open")
+        known = written(_open(left, roots), "open")
         if known.isEmpty():
             break
+        # Any two components of a bucket have a member outside the largest: those are the leaders.
         rank = F.row_number().over(W.partitionBy("bucket").orderBy("fp"))
-        first = written(known.withColumn("k", rank).where(F.col("k") <= LEADERS).drop("k"), "leaders")
-        a = first.select("bucket", F.col("fp").alias("a"), F.col("w").alias("wa"), F.col("root").alias("ra"))
-        b = known.select("bucket", F.col("fp").alias("b"), F.col("w").alias("wb"), F.col("root").alias("rb"))
-        pairs = a.join(b, "bucket").where(f"ra <> rb AND {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = _links(pairs, features, idf, similarity)
-        links = links.unionByName(new)
-        left = known.select("bucket", "fp", "w").join(first.select("bucket", "fp"), ["bucket", "fp"], "left_anti")
-        if not new.isEmpty():
-            roots = components(links)
+        leads = written(known.where("root <> giant").withColumn("k", rank).where(F.col("k") <= GROUP).select("bucket", "size", "fp", "root"), "leaders")
+        chunks = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / GROUP).cast("int") - 1)).alias("chunk")
+        rows = leads.select("bucket", chunks, "fp", "root", F.lit(True).alias("lead")).unionByName(known.select("bucket", chunk, "fp", "root", F.lit(False).alias("lead")))
+        add(_links(rows, features, idf, similarity))
+        left = left.join(leads.select("bucket", "fp"), ["bucket", "fp"], "left_anti")
     out = sigs.select("doc_id", "t", "fp").join(roots, F.col("fp") == F.col("node"), "left")
     return out.select("doc_id", "t", "fp", F.coalesce("root", "fp").alias("root"))
 
