@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from papyra.llm.common import WORD_TABLE, map_arrow, text_bytes
 
 BITS = 20
-SAMPLE = 20_000
+SAMPLE = 10_000
 GRADES = 4
 _MASK = (1 << BITS) - 1
 
@@ -54,43 +54,39 @@ class Ordinal:
         return -np.diff(np.concatenate([np.ones((len(x), 1)), above, np.zeros((len(x), 1))], 1), axis=1)
 
 
-def fit_ordinal(rows: list[tuple[Counter, int]], z: float = 4.0, steps: int = 1500, l2: float = 1e-3) -> Ordinal:
-    """rows: features and the toxic label, 0 or 1."""
-    n = np.array([sum(1 for _, y in rows if y == c) for c in (0, 1)], float)
-    seen = [Counter(), Counter()]
-    for f, y in rows:
-        seen[y].update(f.keys())
-    # Log odds of a feature's presence against its standard error.
-    keep = []
-    for k, a in seen[1].items():
-        b = seen[0].get(k, 0)
-        odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
-        err = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n[1] - a + 0.5) + 1 / (n[0] - b + 0.5))
-        # Beyond common words: most of the documents that hold it are toxic.
-        if a >= 3 and odds / err > z / 2 and (a - b) > 0.4 * (a + b):
-            keep.append(k)
-    keys = np.array(sorted(keep), np.int64)
-    if not len(keys) or not n[0]:
-        return Ordinal(np.empty(0, np.int64), np.empty(0), np.array([30.0, 31.0, 32.0]))
-    at = {int(k): i for i, k in enumerate(keys)}
-    r, c, v = [], [], []
-    for i, (f, _) in enumerate(rows):
-        for k in f.keys() & at.keys():
-            r.append(i)
-            c.append(at[k])
-            v.append(np.log1p(f[k]))
-    r, c, v = np.array(r, np.int64), np.array(c, np.int64), np.array(v)
-    hits = np.bincount(r, v, len(rows))
-    toxic = np.array([y == 1 for _, y in rows])
+def fit_ordinal(sets: list[np.ndarray], labels: list[int], z: float = 4.0, steps: int = 1500, l2: float = 1e-3) -> Ordinal:
+    """sets: a row's features and counts, uint32 [n, 2]; labels: toxic, 0 or 1."""
+    toxic = np.array(labels, bool)
+    rows = len(toxic)
+    none = Ordinal(np.empty(0, np.int64), np.empty(0), np.array([30.0, 31.0, 32.0]))
+    if not toxic.any() or toxic.all():
+        return none
+    n1, n0 = float(toxic.sum()), float((~toxic).sum())
+    r = np.repeat(np.arange(rows, dtype=np.int32), [len(s) for s in sets])
+    every = np.concatenate(sets)
+    keys, c = np.unique(every[:, 0], return_inverse=True)
+    a = np.bincount(c, toxic[r], len(keys))
+    b = np.bincount(c, minlength=len(keys)) - a
+    # Log odds of a feature's presence against its standard error; and most of the documents that hold it are toxic.
+    odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
+    err = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
+    keep = (a >= 3) & (odds / err > z / 2) & (a - b > 0.4 * (a + b))
+    if not keep.any():
+        return none
+    some = keep[c]
+    r, v = r[some], np.log1p(every[some, 1])
+    c = (np.cumsum(keep) - 1)[c[some]]
+    keys = keys[keep].astype(np.int64)
+    hits = np.bincount(r, v, rows)
     lo, hi = np.quantile(hits[toxic], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + (hits > lo) + (hits > hi), 0)
     w, cuts = np.zeros(len(keys)), np.array([1.0, 2.0, 3.0])
     mw, vw, mc, vc = np.zeros_like(w), np.zeros_like(w), np.zeros(3), np.zeros(3)
     above = (grade[:, None] > np.arange(3)).astype(float)
     for step in range(1, steps + 1):  # Adam on the mean log loss of the three cumulative links
-        x = np.bincount(r, v * w[c], len(rows))
+        x = np.bincount(r, v * w[c], rows)
         d = 1 / (1 + np.exp(-np.clip(x[:, None] - cuts, -60, 60))) - above
-        gw = np.bincount(c, v * d.sum(1)[r], len(keys)) / len(rows) + l2 * w / len(keys)
+        gw = np.bincount(c, v * d.sum(1)[r], len(keys)) / rows + l2 * w / len(keys)
         gc = -d.mean(0)
         for g, m, s, p in ((gw, mw, vw, w), (gc, mc, vc, cuts)):
             m += 0.1 * (g - m)
@@ -145,7 +141,6 @@ def grade_toxicity(documents: DataFrame, labels: DataFrame, *, doc_id: str = "do
     own = own.orderBy(F.xxhash64("lid"), "lid", "y").limit(sample)
     # At most `sample` pairs of numbers are broadcast.
     picked = docs.join(F.broadcast(own), F.col("d") == F.col("lid")).select("d", "y", "t")
-    got = sorted((r["d"], r["y"], bytes(r["f"])) for r in map_arrow(picked, _sampled, f"d {kind}, y int, f binary").collect())
-    pairs = [np.frombuffer(f, np.uint32).reshape(-1, 2) for _, _, f in got]
-    model = fit_ordinal([(Counter(dict(p.tolist())), y) for p, (_, y, _) in zip(pairs, got)])
+    got = sorted((r["d"], r["y"], bytes(r["f"])) for r in map_arrow(picked, _sampled, f"d {kind}, y int, f binary").toLocalIterator())
+    model = fit_ordinal([np.frombuffer(f, np.uint32).reshape(-1, 2) for _, _, f in got], [y for _, y, _ in got])
     return map_arrow(docs, _score(model), f"doc_id {kind}, severity double, grade int, p_toxic double, toxic boolean")
