@@ -23,7 +23,7 @@ from papyra.errors import (
     DatabaseClosed, DecodingFailed, DocumentNotFound, DuplicateId, EncodingFailed, IdFieldMissing, PartitionKeyMissing, UnsupportedOperation,
 )
 from papyra.functions.paths import Dynamic, Resolver
-from papyra.functions.values import canonical, describe, describe_column, rank
+from papyra.functions.values import canonical, describe, describe_column, is_scalar, rank
 from papyra.metrics import CollectionMetrics, CollectionStats, Counters
 from papyra.operators.query import Query
 from papyra.options import CollectionOptions, DatabaseOptions
@@ -311,6 +311,8 @@ class Collection(Source):
                 v = canonical(v) if v is not None and not isinstance(v, (list, tuple, dict, bytes, Row)) else v
             except TypeError:
                 pass
+            if v is not None and is_scalar(f.dataType) and not _fits(v, f):
+                raise EncodingFailed(f"'{f.name}' doesn't fit the schema")
             if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and isinstance(v, int) and not isinstance(v, bool):
                 v = float(v)
             out.append(v)
@@ -650,7 +652,10 @@ def _json_scalar(value: Any) -> Any:
 
 
 def _fits(value: Any, f: T.StructField) -> bool:
-    v = canonical(value)
+    try:
+        v = canonical(value)
+    except TypeError:
+        return False
     t = f.dataType
     if v is None:
         return f.nullable
