@@ -42,7 +42,7 @@ class Dynamic:
 
     @property
     def text(self) -> Column:
-        return F.when(self.kind == "STRING", F.try_variant_get(self.value, "$", "string"))
+        return F.when(F.schema_of_variant(self.value) == "STRING", F.try_variant_get(self.value, "$", "string"))
 
     @property
     def rank(self) -> Column:

@@ -14,10 +14,11 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyra.functions.patterns import compiles, glob_regex, like_regex
 from papyra.functions.paths import Dynamic, Resolved, Typed
-from papyra.functions.values import canonical, compare, double_bound, integer_bound, rank, seconds
+from papyra.functions.values import canonical, compare, integer_bound, rank
 
 Resolve = Callable[[str], Resolved]
 _NEGATED = {"lt": "ge", "le": "gt", "gt": "le", "ge": "lt"}
@@ -77,42 +78,18 @@ class Leaf(Predicate):
         return self.field
 
 
-def _literal_key(value: Any) -> Column:
-    """The key struct of paths.Dynamic.key for a literal."""
-    v = canonical(value)
-    if rank(v) == 2 and not isinstance(v, (int, float)):
-        v = seconds(v)
-    side, ip, fp, big, text = 0, None, None, None, None
+def _compare_dynamic(at: Dynamic, op: str, value: Any) -> Column | None:
+    """The comparison for each stored type of the literal's class, exactly; null or false elsewhere.  None: never true."""
+    v, kind = canonical(value), F.schema_of_variant(at.value)
+    if v is None:
+        return kind == "VOID" if op == "eq" else None
     if isinstance(v, bool):
-        ip = int(v)
-    elif isinstance(v, str):
-        text = v
-    elif isinstance(v, (int, float)):
-        got = integer_bound("eq", v)
-        if isinstance(v, float) and v == v and abs(v) < 2.0**63:
-            ip = int(v // 1)
-            fp = v - ip
-        elif isinstance(got, tuple):
-            ip, fp = got[1], 0.0
-        else:
-            big = float(v)
-            side = -1 if big < 0 else 1
-    return F.struct(
-        F.lit(rank(v)).alias("rank"), F.lit(side).alias("side"), F.lit(ip).cast("bigint").alias("ip"), F.lit(fp).cast("double").alias("fp"),
-        F.lit(big).cast("double").alias("big"), F.lit(text).cast("string").alias("str"),
-    )
-
-
-def _ordered(key: Column, op: str, value: Any) -> Column:
-    """Comparison of key structs of one type class; ints beyond 64 bits can only be bounds."""
-    v = canonical(value)
-    if isinstance(v, int) and not isinstance(v, bool) and isinstance(integer_bound("eq", v), bool):
-        got = double_bound(op, v)  # no stored whole number is that large
-        if isinstance(got, bool):
-            return F.lit(False)
-        op, v = got
-    lit = _literal_key(v)
-    return {"eq": key == lit, "lt": key < lit, "le": key <= lit, "gt": key > lit, "ge": key >= lit}[op]
+        return compare(F.when(kind == "BOOLEAN", F.try_variant_get(at.value, "$", "boolean")), T.BooleanType(), op, v)
+    if isinstance(v, str):
+        return compare(at.text, T.StringType(), op, v)
+    whole = compare(F.try_variant_get(at.value, "$", "bigint"), T.LongType(), op, v)
+    other = compare(F.try_variant_get(at.value, "$", "double"), T.DoubleType(), op, v)
+    return F.when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), whole).when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)"), other)
 
 
 @dataclass(frozen=True)
@@ -129,10 +106,9 @@ class Compare(Leaf):
         if at is None:
             return F.lit(negated)
         if isinstance(at, Dynamic):
-            same = at.rank == rank(self.value)
-            if rank(self.value) == 0 and self.op != "eq":
+            hit = _compare_dynamic(at, self.op, self.value)
+            if hit is None:
                 return F.lit(negated)
-            hit = same & _ordered(at.key, self.op, self.value)
             return ~F.coalesce(hit, F.lit(False)) if negated else hit
         hit = compare(at.column, at.dtype, self.op, self.value)
         if hit is None:
@@ -150,8 +126,6 @@ class Compare(Leaf):
 
 def _pushes(at: Typed, v: Any) -> bool:
     """Whether the literal is of the column's own type, so that a null-safe comparison can be pushed down."""
-    from pyspark.sql import types as T
-
     if isinstance(v, bool):
         return isinstance(at.dtype, T.BooleanType)
     if isinstance(v, int):
@@ -199,8 +173,6 @@ class Text(Leaf):
     pattern: str
 
     def column(self, resolve: Resolve, negated: bool = False) -> Column:
-        from pyspark.sql import types as T
-
         at = resolve(self.field)
         c = at.text if isinstance(at, Dynamic) else at.column if isinstance(at, Typed) and isinstance(at.dtype, T.StringType) else None
         if c is None:
