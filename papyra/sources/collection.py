@@ -11,16 +11,18 @@ import json
 import threading
 import time
 import urllib.parse
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyra import crypto
 from papyra.errors import (
-    DatabaseClosed, DecodingFailed, DocumentNotFound, DuplicateId, EncodingFailed, IdFieldMissing, PartitionKeyMissing, UnsupportedOperation,
+    DatabaseClosed, DecodingFailed, DocumentNotFound, DuplicateId, EncodingFailed, IdFieldMissing, PapyraError, PartitionKeyMissing, UnsupportedOperation,
 )
 from papyra.functions.paths import Dynamic, Resolver
 from papyra.functions.values import canonical, describe, describe_column, is_scalar, rank
@@ -182,7 +184,7 @@ class Collection(Source):
         return T.StructType([*body, *ends])
 
     def _read(self, segments: Iterable[Segment], schema: T.StructType) -> DataFrame:
-        paths = [self._files.at(f"{self.name}/{DATA}/_seq={s.seq}") for s in segments if s.rows]
+        paths = [self._files.at(f"{self.name}/{DATA}/{s.place}") for s in segments if s.rows]
         if not paths:
             return self.spark.createDataFrame([], schema)
         base = self._files.at(f"{self.name}/{DATA}")
@@ -195,8 +197,7 @@ class Collection(Source):
         later = [x for x in s.segments if x.kind != "rows"]
         if not later or not s.segments or min(x.seq for x in s.segments) == max(x.seq for x in later):
             return rows
-        ids = T.StructType([f for f in self._stored().fields if f.name in INTERNAL])
-        dead = self._read(later, ids).groupBy("_key").agg(F.max("_seq").alias("_last")).withColumnRenamed("_key", "_gone")
+        dead = self._read(later, self._ids()).groupBy("_key").agg(F.max("_seq").alias("_last")).withColumnRenamed("_key", "_gone")
         if sum(x.rows for x in later) <= self.options.broadcast_ids:
             dead = F.broadcast(dead)
         return rows.join(dead, (F.col("_key") == F.col("_gone")) & (F.col("_seq") < F.col("_last")), "left_anti")
@@ -346,43 +347,61 @@ class Collection(Source):
         return df.select(*body, text.alias("_id"), part.alias("_part"), key_out.alias("_key"), shard)
 
     def _held(self, rows: DataFrame) -> DataFrame:
-        """Rows that are read several times before they are committed; small ones stay with the driver's plan."""
+        """Rows that are read several times before they are committed: those of a batch, or keys to delete."""
         return rows.persist()
 
-    def _check(self, rows: DataFrame, new: bool) -> int:
-        """Validates rows before anything is written; returns their number.  new: no key may be live already."""
-        got = rows.agg(
-            F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_key").isNull(), 1)).alias("no_id"), F.count(F.when(F.col("_part").isNull(), 1)).alias("no_part"),
-        ).first()
-        if got["no_id"]:
-            raise IdFieldMissing(self.id_field)
-        if got["no_part"]:
-            raise PartitionKeyMissing(self.partition_key)
-        if got["n"]:
-            twice = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("id")).where("n > 1").orderBy("id").first()
-            if twice is not None:
-                raise DuplicateId(twice["id"])
-            if new and self._snapshot.documents:
-                old = rows.join(self._live().select("_key"), "_key", "left_semi").agg(F.min("_id").alias("id")).first()["id"]
-                if old is not None:
-                    raise DuplicateId(old)
-        return got["n"]
+    def _stage(self, documents: Iterable[Any] | DataFrame, kind: str) -> tuple[Segment, DataFrame]:
+        """Writes a segment that no commit lists yet, and checks it; returns it and its keys.
+
+        The documents are computed once; checks read back only the keys.  Whatever is wrong, the segment is removed.
+        """
+        seen = Observation()
+        rows = self._frame_of(documents).observe(
+            seen, F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_key").isNull(), 1)).alias("no_id"), F.count(F.when(F.col("_part").isNull(), 1)).alias("no_part"),
+        )
+        seq = self._snapshot.next_seq
+        segment = self._write(rows.withColumn("_shard", F.coalesce("_shard", F.lit("_"))), kind, seq)
+        keys = self._read([segment], self._ids())
+        try:
+            if seen.get["no_id"]:
+                raise IdFieldMissing(self.id_field)
+            if seen.get["no_part"]:
+                raise PartitionKeyMissing(self.partition_key)
+            if segment.rows:
+                twice = keys.groupBy("_key").count().where("count > 1").agg(F.min("_key").alias("k")).first()["k"]
+                if twice is not None:
+                    raise DuplicateId(self._id_text(segment, twice))
+        except PapyraError:
+            self._discard(segment)
+            raise
+        return segment, keys
+
+    def _discard(self, segment: Segment) -> None:
+        self._files.delete(f"{self.name}/{DATA}/_run={segment.run}")
+
+    def _id_text(self, segment: Segment, key: str) -> str:
+        """The id that a key stands for, of one of the segment's documents."""
+        row = self._opened(self._read([segment], self._stored()).where(F.col("_key") == key))
+        return row.select(self._text_of(self.id_field)[0].alias("id")).first()["id"]
+
+    def _ids(self) -> T.StructType:
+        return T.StructType([f for f in self._stored().fields if f.name in INTERNAL])
 
     def _write(self, rows: DataFrame, kind: str, seq: int) -> Segment:
         stored = [f.name for f in self._stored().fields if f.name != "_seq"]
         columns = ["_key", "_shard"] if kind == "tomb" else stored
-        name = f"{self.name}/{DATA}/_seq={seq}"
-        writer = rows.select(*columns).write.mode("overwrite").option("compression", self.options.compression.codec)
+        segment = Segment(seq, kind, f"r{uuid.uuid4().hex[:12]}")
+        name = f"{self.name}/{DATA}/{segment.place}"
+        writer = rows.select(*columns).write.option("compression", self.options.compression.codec)
         if kind != "tomb":
             for f in sorted(self.indexed):
                 if self._secret is None and self.schema is not None and f in self.schema.names:
                     writer = writer.option(f"parquet.bloom.filter.enabled#{f}", "true")
         writer.partitionBy("_shard").parquet(self._files.at(name))
-        ids = T.StructType([f for f in self._stored().fields if f.name in INTERNAL])
-        counts = self.spark.read.schema(ids).option("basePath", self._files.at(f"{self.name}/{DATA}")).parquet(self._files.at(name)).groupBy("_shard").count().collect()
+        counts = self.spark.read.schema(self._ids()).option("basePath", self._files.at(f"{self.name}/{DATA}")).parquet(self._files.at(name)).groupBy("_shard").count().collect()
         size = self._files.size(name)
         self.counters.add(bytes_written=size)
-        return Segment(seq, kind, {r["_shard"]: r["count"] for r in counts}, size)
+        return replace(segment, shards={r["_shard"]: r["count"] for r in counts}, size=size)
 
     def _dead(self, keys: DataFrame) -> dict[str, int]:
         """Live rows, by shard, that a write of these keys replaces."""
@@ -410,33 +429,39 @@ class Collection(Source):
                 documents = list(documents)
                 if not documents:
                     return 0
-            rows = self._held(self._frame_of(documents))
+            segment, keys = self._stage(documents, "rows")
+            if segment.rows and self._snapshot.documents:
+                old = keys.join(self._live().select("_key"), "_key", "left_semi").agg(F.min("_key").alias("k")).first()["k"]
+                if old is not None:
+                    error = DuplicateId(self._id_text(segment, old))
+                    self._discard(segment)
+                    raise error
+            return self._add(segment, {})
+
+    def _add(self, segment: Segment, dead: dict[str, int]) -> int:
+        if segment.rows:
             try:
-                n = self._check(rows, new=True)
-                if n:
-                    seq = self._snapshot.next_seq
-                    self._commit(self._snapshot.with_segments([self._write(rows, "rows", seq)], {}), n)
-                return n
-            finally:
-                rows.unpersist()
+                self._commit(self._snapshot.with_segments([segment], dead), segment.rows)
+            except PapyraError:
+                self._discard(segment)
+                raise
+        else:
+            self._discard(segment)
+        return segment.rows
 
     def _replace(self, documents: Iterable[Any] | DataFrame, must_exist: bool) -> int:
         with self._lock:
             self.check_open()
-            rows = self._held(self._frame_of(documents))
-            try:
-                n = self._check(rows, new=False)
-                if not n:
-                    return 0
-                if must_exist:
-                    gone = rows.join(self._live().select("_key"), "_key", "left_anti").agg(F.min("_id").alias("id")).first()["id"]
-                    if gone is not None:
-                        raise DocumentNotFound(gone)
-                dead = self._dead(rows)
-                self._commit(self._snapshot.with_segments([self._write(rows, "delta", self._snapshot.next_seq)], dead), n)
-                return n
-            finally:
-                rows.unpersist()
+            segment, keys = self._stage(documents, "delta")
+            if not segment.rows:
+                return self._add(segment, {})
+            dead = self._dead(keys)
+            if must_exist and sum(dead.values()) < segment.rows:
+                gone = keys.join(self._live().select("_key"), "_key", "left_anti").agg(F.min("_key").alias("k")).first()["k"]
+                error = DocumentNotFound(self._id_text(segment, gone))
+                self._discard(segment)
+                raise error
+            return self._add(segment, dead)
 
     def update(self, document: Mapping[str, Any]) -> None:
         self._replace([document], must_exist=True)
@@ -520,7 +545,7 @@ class Collection(Source):
         base = self._write(rows, "rows", seq) if count else None
         for n in self._garbage:  # replaced before the last rewrite; nothing older is handed out any more
             self._files.delete(n)
-        self._garbage = [f"{self.name}/{DATA}/_seq={s.seq}" for s in old.segments]
+        self._garbage = [f"{self.name}/{DATA}/_run={s.run}" for s in old.segments]
         self._commit(old.rebased(base, seq + 1), writes)
 
     def write_batch(self, body: Callable[[WriteBatch], None]) -> None:
