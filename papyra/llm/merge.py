@@ -50,8 +50,8 @@ def _add(block: int):
 
 
 def summed(rows: DataFrame, block: int, blocks: int) -> DataFrame:
-    """One row for each block that isn't zero.  rows: of pack(), with salts from 0 to 15."""
-    first = map_arrow(rows.repartition(min(blocks * 16, 256), "block", "salt"), _add(block), SCHEMA)
+    """One row for each block that isn't zero.  rows: of pack(), with salts from 0 to 3."""
+    first = map_arrow(rows.repartition(min(blocks * 4, 128), "block", "salt"), _add(block), SCHEMA)
     return map_arrow(first.repartition(min(blocks, 64), "block"), _add(block), SCHEMA)
 
 
