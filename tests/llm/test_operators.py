@@ -78,6 +78,27 @@ def test_mixer_learns():
     assert bits < 1 < 7.9 < lm.mix([text], np.zeros(lm.CELLS, np.uint32))[0] / math.log(2) / len(text)
 
 
+def test_mixer_counts_each_context_apart():
+    rng = np.random.default_rng(8)
+    texts = [lm.coded(" ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n)).encode())[1] for n in (60_000, 30_000)]
+    pairs = lm.Pairs(texts, [False, True])
+    follows = defaultdict(Counter)  # 0.6 million contexts: more than a table of SLOT_BITS has slots for
+    for t, held in zip(texts, (False, True)):
+        padded = bytes(6) + t
+        for i in range(6, len(padded)):
+            follows[padded[i - 6 : i]][padded[i]] += not held
+    odds = lm._pair_odds(pairs.context, pairs.byte, pairs.count, len(pairs.keys)).view(np.int8).reshape(-1, 8)
+    at = pairs.at[lm.ORDERS.index(6)]
+    padded = [bytes(6) + t for t in texts]
+    where = [(p[i - 6 : i], p[i]) for p in padded for i in range(6, len(p))]
+    assert len(set(at.tolist())) == len(set(where)) and (pairs.count[at] == [follows[c][b] for c, b in where]).all()
+    for i in range(0, len(where), 997):
+        c, b = where[i]
+        for bit in range(8):
+            n = [sum(m for x, m in follows[c].items() if x >> (8 - bit) == b >> (8 - bit) and x >> (7 - bit) & 1 == v) + 0.4 for v in (0, 1)]
+            assert abs(odds[at[i], bit] - np.clip(np.log(n[1] / n[0]) * 15, -120, 120)) < 0.51
+
+
 # 2
 
 
