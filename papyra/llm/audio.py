@@ -4,11 +4,11 @@ A clip is mono 16-bit PCM in a binary column.  Frames of 4096 samples, two third
 next, are folded into 12 pitch classes and smoothed.  Sixteen
 filters, differences of rectangle sums in an integral image of 16 frames by
 12 classes, are each quantised to two bits (Gray code), so every frame yields one packed 32-bit
-integer.  Two recordings are aligned by the histogram of offsets at which their
-integers agree in the upper 24 bits, and judged by the share of bits that differ at the best offset.
+integer.  Two recordings are compared at every offset at which any of their
+integers agree in the upper 24 bits, by the share of bits that differ there; of the alignments, that of most agreements counts.
 
 Queries (ids divisible by 20) are matched against all clips: both sides are
-joined on the keys of their frames, and agreements are counted by offset; a
+joined on the keys of their frames, and all pairs that share a key are compared; a
 key that very many clips share (silence) is met by salting its rows, not by dropping them.
 
 Cases.  Null, empty and very short audio: no integers, no match.  A trailing odd byte is left out.
@@ -34,8 +34,6 @@ WIDTH = 16
 KEY_SHIFT = 8
 #: Share of differing bits up to which a match is an alignment, and frames that it takes.
 MAX_ERROR, MIN_FRAMES = 0.15, 8
-#: Keys that must agree at one offset for a pair to be compared.
-MIN_KEYS = 2
 #: Matches in one row of grouped_matches, about.
 LIST = 1024
 _PIECE = 512
@@ -121,7 +119,11 @@ def fingerprint(pcm: bytes | None, rate: int = RATE) -> np.ndarray:
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
-    """The offset of b against a at which most keys agree, the frames that overlap there, and the share of differing bits."""
+    """The alignment of b against a, of all offsets at which a key agrees: offset, frames that overlap there, share of differing bits.
+
+    Where several offsets are alignments, the one at which most keys agree, then that of the fewest errors, then the smallest shift;
+    where none is, that of the fewest errors.
+    """
     ka, kb = a >> np.uint32(KEY_SHIFT), b >> np.uint32(KEY_SHIFT)
     order = np.argsort(kb, kind="stable")
     lo, hi = (np.searchsorted(kb[order], ka, side=s) for s in ("left", "right"))
@@ -130,14 +132,15 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
         np.add.at(hist, order[lo[i] : hi[i]] - i + len(a), 1)
     if not hist.any():
         return 0, 0, 1.0
-    best = np.flatnonzero(hist == hist.max())
-    found = (0, 0, 1.0)
-    for off in best[np.argsort(np.abs(best - len(a)), kind="stable")][:8] - len(a):  # ties: the smallest shifts are compared
+    found, best = (0, 0, 1.0), (False, 0, -1.0, 0)
+    for off in np.flatnonzero(hist) - len(a):
         i0, j0 = max(0, -off), max(0, off)
         n = min(len(a) - i0, len(b) - j0)
         error = float(np.bitwise_count(a[i0 : i0 + n] ^ b[j0 : j0 + n]).mean() / 32)
-        if error < found[2]:
-            found = (int(off), int(n), error)
+        ok = n >= MIN_FRAMES and error <= MAX_ERROR
+        rank = (ok, int(hist[off + len(a)]) if ok else 0, -error, -abs(int(off)))
+        if rank > best:
+            found, best = (int(off), int(n), error), rank
     return found
 
 
@@ -168,14 +171,17 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def match_recordings(media: DataFrame, *, id: str = "id", audio: str = "audio", rate: int = RATE, every: int = 20) -> DataFrame:
     """query_id, match_id, offset, frames, bit_error: clips that align with a query (an id divisible by every)."""
     prints = written(fingerprints(media, id=id, audio=audio, rate=rate).where("id IS NOT NULL").dropDuplicates(["id"]), "prints")
-    keys = prints.select("id", F.posexplode("fp").alias("at", "v")).select("id", "at", F.shiftrightunsigned("v", KEY_SHIFT).alias("key"))
-    q = keys.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.col("at").alias("qat"), F.col("key").alias("qk"))
+    return match_prints(prints, every=every)
+
+
+def match_prints(prints: DataFrame, *, every: int = 20) -> DataFrame:
+    """match_recordings of fingerprints: id, fp."""
+    keys = prints.select("id", F.explode("fp").alias("v")).select("id", F.shiftrightunsigned("v", KEY_SHIFT).alias("key")).distinct()
+    q = keys.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.col("key").alias("qk"))
     # Hot keys: the queries' rows are copied to each salt, the clips' rows are spread over them.
     q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("qs"))
     c = keys.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"))
-    votes = q.join(c, (F.col("qk") == F.col("key")) & (F.col("qs") == F.col("s"))).where("query_id <> id")
-    votes = votes.groupBy("query_id", "id", (F.col("at") - F.col("qat")).alias("off")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_KEYS)
-    pairs = votes.select("query_id", F.col("id").alias("match_id")).distinct()
+    pairs = q.join(c, (F.col("qk") == F.col("key")) & (F.col("qs") == F.col("s"))).where("query_id <> id").select("query_id", F.col("id").alias("match_id")).distinct()
     a = prints.select(F.col("id").alias("query_id"), F.col("fp").alias("fa"))
     b = prints.select(F.col("id").alias("match_id"), F.col("fp").alias("fb"))
     rows = pairs.join(a, "query_id").join(b, "match_id").select("query_id", "match_id", "fa", "fb")

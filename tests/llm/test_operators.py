@@ -158,6 +158,45 @@ def test_audio_alignment(spark):
     assert sorted((r["query_id"], m["match_id"]) for r in lists for m in r["matches"]) == sorted(found)
 
 
+def noised(rng, fp, share):
+    return fp ^ (rng.random((len(fp), 32)) < share) @ (np.uint32(1) << np.arange(32, dtype=np.uint32))
+
+
+def every_offset(a, b):
+    """Errors and key agreements of all offsets that overlap enough, brute force."""
+    for off in range(audio.MIN_FRAMES - len(a), len(b) - audio.MIN_FRAMES + 1):
+        x, y = a[max(0, -off) :], b[max(0, off) :]
+        n = min(len(x), len(y))
+        yield off, np.bitwise_count(x[:n] ^ y[:n]).mean() / 32, int((x[:n] >> 8 == y[:n] >> 8).sum())
+
+
+def test_audio_compares_all_offsets(spark):
+    rng = np.random.default_rng(2)
+    song = rng.integers(0, 1 << 32, 30, dtype=np.uint32)
+    still = np.zeros(40, np.uint32)  # 21 offsets tie at 20 silent frames
+    ends = rng.integers(0, 1 << 32, (2, 30), dtype=np.uint32)
+    a, b = np.concatenate([song, still[:20], ends[0]]), np.concatenate([ends[1], still, noised(rng, song, 0.04)])
+    off, n, error = audio.align(a, b)
+    assert off == 70 and n == 30 and error < 0.08
+
+    prints = {}
+    for k in range(60):  # queries 0, 20, 40...; each with a copy of 4 to 15 % wrong bits, whole or of few frames
+        song = rng.integers(0, 1 << 32, 46, dtype=np.uint32)
+        song = np.concatenate([song, still[:10]]) if k % 3 == 0 else song
+        prints[20 * k] = song
+        prints[20 * k + 1] = noised(rng, song[: 9 if k % 5 == 0 else 46], 0.02 + 0.13 * k / 60)
+    df = spark.createDataFrame([(i, v.view(np.int32).tolist()) for i, v in prints.items()], "id BIGINT, fp ARRAY<INT>")
+    found = {(r["query_id"], r["match_id"]) for r in audio.match_prints(df).collect()}
+    want, true = set(), set()
+    for q in range(0, 1200, 20):
+        for i in prints:
+            ok = [votes for _, error, votes in every_offset(prints[q], prints[i]) if error <= audio.MAX_ERROR] if i != q else []
+            true |= {(q, i)} if ok else set()
+            want |= {(q, i)} if any(ok) else set()
+    assert found == want  # all that any key leads to
+    print("recall", len(found), "of", len(true))
+
+
 # 4
 
 
