@@ -69,16 +69,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: bytes, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted 32-bit shingle hashes of a text and their counts."""
+    """Sorted 64-bit shingle hashes of a text and their counts."""
     tokens = text.translate(WORD_TABLE).split()
     if not tokens:
-        return np.empty(0, np.uint32), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     w = np.array([_words[t] for t in tokens], np.uint64)
     k = min(k, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
         h = h * _PRIME + w[i : len(w) - k + 1 + i]
-    return np.unique((_mix(h) >> np.uint64(32)).astype(np.uint32), return_counts=True)
+    return np.unique(_mix(h), return_counts=True)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +176,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _one(h: bytes, n: bytes | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(h, np.uint32)
+    h = np.frombuffer(h, np.uint64)
     return h, _weights(h, np.frombuffer(n, np.int32) if n is not None else 1, idf)
 
 

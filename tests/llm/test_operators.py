@@ -436,6 +436,11 @@ def test_near_duplicates(spark, monkeypatch, group):
         assert duplicate_classes(empty(spark)).collect() == []
 
 
+def test_short_texts_have_64_bit_hashes():
+    seen = {neardup.shingles(b"w%d" % i)[0].tobytes() for i in range(300_000)}  # 32 bits: some ten collide
+    assert len(seen) == 300_000
+
+
 def test_samples_estimate_the_similarity():
     rng = np.random.default_rng(4)
     hits = []
