@@ -1,8 +1,8 @@
 """Near-duplicate documents by weighted MinHash.
 
 Shingles are five consecutive words (a text of fewer is one shingle), weighted by
-count times inverse document frequency; document frequencies are counted over all documents in a
-fixed number of hashed cells.  Texts with the same shingles are one node.  Improved
+count times inverse document frequency; document frequencies are counted over all documents by shingle:
+texts are packed in blocks, a block sends its distinct hashes to shards, and a shard answers with the frequencies.  Texts with the same shingles are one node.  Improved
 consistent weighted sampling gives each node BANDS x ROWS samples; nodes that agree on all
 samples of a band share a bucket.  Candidates are verified by weighted Jaccard similarity on the full shingle sets.
 
@@ -21,6 +21,7 @@ in one class.  Very long texts are sampled in pieces, whole.  Columns other than
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from papyra.llm.common import WORD_TABLE, map_arrow, text_bytes, written
+from papyra.llm.common import WORD_TABLE, map_arrow, partitions, text_bytes, written
 from papyra.llm.graph import components
-from papyra.llm.merge import SCHEMA, gathered, pack
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -42,9 +42,8 @@ BANDS, ROWS = 14, 4
 STEPS = (0, 1, 4, BANDS)
 #: Members of a bucket in one task, about.
 GROUP = 512
-CELL_BITS = 20
-_CELLS = 1 << CELL_BITS
-_BLOCK = 1 << 14
+BLOCK_BYTES = 4 << 20
+_CELLS = 1 << 20  # of weights(), for small corpora
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _WORDS_KEPT = 300_000
 
@@ -122,62 +121,142 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _weights(h: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights from inverse frequencies held by hash modulo _CELLS; the operator's own are by hash."""
     return n * idf[h & (_CELLS - 1)]
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells = np.zeros(_CELLS, np.int64)
-    docs = 0
-    for b in batches:
-        cell = []
-        for t in text_bytes(b.column(0)):
-            cell.append(np.unique(shingles(t)[0] & (_CELLS - 1)))
-            docs += 1
-        if cell:
-            cells += np.bincount(np.concatenate(cell), minlength=_CELLS)
-    out = np.concatenate([cells, np.zeros(_BLOCK, np.int64)])
-    out[_CELLS] = docs
-    yield from pack(out, _BLOCK, TaskContext.get().partitionId() % 4)
+def _packed(kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, ts, data, ends, size, k = [], [], [], [], 0, 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(TaskContext.get().partitionId() << 32) + k]), pa.array([ids], pa.list_(kind)), pa.array([ts], pa.list_(pa.int64())),
+                 pa.array([b"".join(data)], pa.binary()), pa.array([ends], pa.list_(pa.int32()))],
+                names=["block", "ids", "ts", "data", "ends"],
+            )
+
+        for b in batches:
+            for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2))):
+                if data and size + len(t) > BLOCK_BYTES:
+                    yield block()
+                    ids, ts, data, ends, size, k = [], [], [], [], 0, k + 1
+                size += len(t)
+                ids.append(i), ts.append(h), data.append(t), ends.append(size)
+        if data:
+            yield block()
+
+    return run
+
 
+def _sets(data: bytes, ends: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [shingles(data[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """A weight for each of the hashed cells, from all rows of texts (one column)."""
-    got = gathered(map_arrow(texts, _frequencies, SCHEMA), _BLOCK, _CELLS // _BLOCK + 1)
-    return np.log1p(got[_CELLS] / np.maximum(got[:_CELLS], 1)).astype(np.float32) + np.float32(0.1)
 
+def _asked(bits: int):
+    """For each block and shard (top bits of the hash) a row: the block's distinct shingles, and in how many of its texts each is."""
 
-def _signatures(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, bands = [], []
-            for t in text_bytes(b.column(2)):
-                h, n = shingles(t)
-                if not len(h):
-                    fp.append(None), bands.append(None)
-                    continue
-                w = _weights(h, n, idf.value)
-                fp.append(xxhash.xxh3_64_intdigest(h.tobytes() + n.tobytes()) - (1 << 63))
-                bands.append(band_keys(samples(h, np.log(w).astype(np.float32))))
+            for block, data, ends in zip(*(b.column(i).to_pylist() for i in range(3))):
+                h, n = np.unique(np.concatenate([h for h, _ in _sets(data, ends)]), return_counts=True)
+                cut = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                for shard in np.flatnonzero(np.diff(cut)):
+                    own = slice(cut[shard], cut[shard + 1])
+                    row = (h[own].tobytes(), zlib.compress(n[own].astype(np.int32).tobytes(), 1))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([shard], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=["shard", "block", "h", "n"]
+                    )
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard: each block's frequencies become the corpus's."""
+
+    def answers(shard: int, rows: list) -> Iterator[pa.RecordBatch]:
+        keys, at = np.unique(np.concatenate([np.frombuffer(h, np.uint64) for _, h, _ in rows]), return_inverse=True)
+        own = np.concatenate([np.frombuffer(zlib.decompress(n), np.int32) for _, _, n in rows])
+        total = np.bincount(at, own, len(keys)).astype(np.int64)[at]
+        done = 0
+        for block, h, _ in rows:
+            part = total[done : done + len(h) // 8]
+            done += len(part)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "t", "fp", "bands"]
+                [pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "shard", "c"]
             )
 
+    now, rows = None, []
+    for b in batches:
+        for shard, *row in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if shard != now and rows:
+                yield from answers(now, rows)
+                rows = []
+            now = shard
+            rows.append(row)
+    if rows:
+        yield from answers(now, rows)
+
+
+def _counted(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Blocks of texts, each with the document frequencies of its distinct shingles in the order of their hashes; and the number of documents."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema["doc_id"].dataType
+    blocks = written(map_arrow(docs, _packed(to_arrow_type(kind)), f"block bigint, ids array<{kind.simpleString()}>, ts array<bigint>, data binary, ends array<int>"), "blocks")
+    many, rows = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ends")), F.lit(0))).first()
+    bits = min(16, max(3, (many // 4).bit_length()))
+    asked = map_arrow(blocks.select("block", "data", "ends"), _asked(bits), "shard int, block bigint, h binary, n binary")
+    asked = asked.repartition(max(1, min(1 << bits, 4 * partitions(blocks))), "shard").sortWithinPartitions("shard")
+    answers = map_arrow(asked, _answered, "block bigint, shard int, c binary")
+    lists = written(answers.groupBy("block").agg(F.collect_list(F.struct("shard", "c")).alias("known")), "frequencies")  # a block's shingles: bounded by its size
+    return blocks.join(lists.hint("shuffle_hash"), "block", "left"), rows
+
+
+def _weighted(data: bytes, ends: list[int], known: list[dict] | None, docs: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes, counts and weights of each text of a block."""
+    sets = _sets(data, ends)
+    every = np.unique(np.concatenate([h for h, _ in sets]))
+    parts = [np.frombuffer(zlib.decompress(x["c"]), np.int64) for x in sorted(known or [], key=lambda x: x["shard"])]
+    idf = np.log1p(docs / np.concatenate([np.empty(0, np.int64), *parts])).astype(np.float32) + np.float32(0.1)
+    return [(h, n, (n * idf[np.searchsorted(every, h)]).astype(np.float32)) for h, n in sets]
+
+
+def _signatures(kind: pa.DataType, docs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                block, ids, ts, data, ends, known = (b.column(j)[i].as_py() for j in range(6))
+                fp, bands = [], []
+                for h, n, w in _weighted(data, ends, known, docs):
+                    if not len(h):
+                        fp.append(None), bands.append(None)
+                        continue
+                    fp.append(xxhash.xxh3_64_intdigest(h.tobytes() + n.tobytes()) - (1 << 63))
+                    bands.append(band_keys(samples(h, np.log(w).astype(np.float32))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, kind), pa.array(ts, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
+                     pa.array([block] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32())],
+                    names=["doc_id", "t", "fp", "bands", "block", "at"],
+                )
+
     return run
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hs, ns = [], []
-        for t in text_bytes(b.column(1)):
-            h, n = shingles(t)
-            hs.append(h.tobytes())
-            ns.append(None if (n == 1).all() else n.astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hs, pa.binary()), pa.array(ns, pa.binary())], names=["fp", "h", "n"])
+def _features(docs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                data, ends, known, wanted = (b.column(j)[i].as_py() for j in range(4))
+                sets = _weighted(data, ends, known, docs)
+                got = [(x["fp"], sets[x["at"]][0].tobytes(), sets[x["at"]][2].tobytes()) for x in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got), (pa.int64(), pa.binary(), pa.binary()))], names=["fp", "h", "w"])
 
+    return run
 
-def _one(h: bytes, n: bytes | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(h, np.uint64)
-    return h, _weights(h, np.frombuffer(n, np.int32) if n is not None else 1, idf)
+
+def _one(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32)
 
 
 def jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
@@ -217,7 +296,7 @@ def linked(fps: list[int], roots: list[int], leads: list[bool], sets: list[tuple
     return out
 
 
-def _linked_groups(idf, similarity: float):
+def _linked_groups(similarity: float):
     """Streams rows sorted by group; a group has about GROUP members and its leaders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,11 +304,11 @@ def _linked_groups(idf, similarity: float):
 
         def links() -> pa.RecordBatch:
             seen = {}
-            for fp, root, lead, h, n in rows:  # a leader is also among the members of one chunk
+            for fp, root, lead, h, w in rows:  # a leader is also among the members of one chunk
                 if fp not in seen or lead:
-                    seen[fp] = (root, lead, h, n)
+                    seen[fp] = (root, lead, h, w)
             got = linked(
-                list(seen), [x[0] for x in seen.values()], [x[1] for x in seen.values()], [_one(x[2], x[3], idf.value) for x in seen.values()], similarity
+                list(seen), [x[0] for x in seen.values()], [x[1] for x in seen.values()], [_one(x[2], x[3]) for x in seen.values()], similarity
             )
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["a", "b"])
 
@@ -246,12 +325,12 @@ def _linked_groups(idf, similarity: float):
     return run
 
 
-def _links(rows: DataFrame, features: DataFrame, idf, similarity: float) -> DataFrame:
+def _links(rows: DataFrame, features: DataFrame, similarity: float) -> DataFrame:
     """rows: bucket, chunk, fp, root, lead.  The links that each group's leaders have."""
     own = features.withColumnRenamed("fp", "f")
-    full = rows.join(own, F.col("fp") == F.col("f")).select("bucket", "chunk", "fp", "root", "lead", "h", "n")
+    full = rows.join(own, F.col("fp") == F.col("f")).select("bucket", "chunk", "fp", "root", "lead", "h", "w")
     grouped = full.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
-    return written(map_arrow(grouped, _linked_groups(idf, similarity), "a bigint, b bigint"), "links")
+    return written(map_arrow(grouped, _linked_groups(similarity), "a bigint, b bigint"), "links")
 
 
 def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -266,18 +345,21 @@ def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, t (hash of the text), fp (node; null without words), root (its component; null without words): one row per row of documents."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
-    spark = documents.sparkSession
-    idf = spark.sparkContext.broadcast(inverse_frequencies(docs.select("text")))  # 4 MB, whatever the input
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sigs = written(map_arrow(docs, _signatures(idf), f"doc_id {kind}, t bigint, fp bigint, bands array<bigint>"), "signatures")
-    nodes = sigs.where("fp IS NOT NULL").groupBy("fp").agg(F.min("t").alias("t"), F.first("bands").alias("bands"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    blocks, many = _counted(docs)
+    kind = docs.schema["doc_id"].dataType
+    rows = blocks.select("block", "ids", "ts", "data", "ends", "known")
+    sigs = written(map_arrow(rows, _signatures(to_arrow_type(kind), many), f"doc_id {kind.simpleString()}, t bigint, fp bigint, bands array<bigint>, block bigint, at int"), "signatures")
+    nodes = sigs.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct("block", "at")).alias("place"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
-    buckets = nodes.select("fp", "t", F.posexplode("bands").alias("band", "bucket"))
+    buckets = nodes.select("fp", "place", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(buckets.join(shared, "bucket"), "members")
-    wanted = members.groupBy("fp").agg(F.first("t").alias("wt"))
-    rows = docs.select("t", "text").join(wanted.hint("shuffle_hash"), F.col("t") == F.col("wt")).select("fp", "text")
-    features = written(map_arrow(rows, _features, "fp bigint, h binary, n binary").dropDuplicates(["fp"]), "features")
+    wanted = members.groupBy("fp").agg(F.first("place").alias("p")).select("fp", F.col("p.block").alias("block"), F.col("p.at").alias("at"))
+    wanted = wanted.groupBy("block").agg(F.collect_list(F.struct("fp", "at")).alias("wanted"))  # some of a block's texts
+    rows = blocks.join(wanted.hint("shuffle_hash"), "block").select("data", "ends", "known", "wanted")
+    features = written(map_arrow(rows, _features(many), "fp bigint, h binary, w binary"), "features")
     members = members.select("bucket", "band", "size", "fp")
 
     links, roots = None, None
@@ -291,7 +373,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
     for lo, hi in zip(STEPS, STEPS[1:]):  # what the first bands join needn't be compared again
         some = _open(members.where((F.col("band") >= lo) & (F.col("band") < hi)), roots)
-        add(_links(some.select("bucket", chunk, "fp", "root", F.lit(True).alias("lead")), features, idf, similarity))
+        add(_links(some.select("bucket", chunk, "fp", "root", F.lit(True).alias("lead")), features, similarity))
     left = members.where(F.col("size") > GROUP)  # compared within chunks only, so far
     while True:
         known = written(_open(left, roots), "open")
@@ -302,7 +384,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         leads = written(known.where("root <> giant").withColumn("k", rank).where(F.col("k") <= GROUP).select("bucket", "size", "fp", "root"), "leaders")
         chunks = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / GROUP).cast("int") - 1)).alias("chunk")
         rows = leads.select("bucket", chunks, "fp", "root", F.lit(True).alias("lead")).unionByName(known.select("bucket", chunk, "fp", "root", F.lit(False).alias("lead")))
-        add(_links(rows, features, idf, similarity))
+        add(_links(rows, features, similarity))
         left = left.join(leads.select("bucket", "fp"), ["bucket", "fp"], "left_anti")
     out = sigs.select("doc_id", "t", "fp").join(roots, F.col("fp") == F.col("node"), "left")
     return out.select("doc_id", "t", "fp", F.coalesce("root", "fp").alias("root"))

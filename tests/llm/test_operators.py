@@ -436,6 +436,23 @@ def test_near_duplicates(spark, monkeypatch, group):
         assert duplicate_classes(empty(spark)).collect() == []
 
 
+def test_document_frequencies_are_exact(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, 40_000))) for _ in range(30)]  # 1.2 million shingles
+    texts = [t + " the same passage is at the end of a third of all texts" * (i % 3 == 0) for i, t in enumerate(texts)]
+    blocks, docs = neardup._counted(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id BIGINT, t BIGINT, text STRING").repartition(3))
+    sets = [neardup.shingles(t.encode()) for t in texts]
+    df = Counter(x for h, _ in sets for x in h.tolist())
+    assert docs == 30 and max(df.values()) == 10
+    got = 0
+    for r in blocks.collect():
+        for i, (h, n, w) in zip(r["ids"], neardup._weighted(bytes(r["data"]), r["ends"], r["known"], docs)):
+            true = n * (np.log1p(docs / np.array([df[x] for x in h.tolist()])) + 0.1)
+            assert (h == sets[i][0]).all() and np.allclose(w, true, rtol=1e-5)
+            got += 1
+    assert got == 30
+
+
 def test_short_texts_have_64_bit_hashes():
     seen = {neardup.shingles(b"w%d" % i)[0].tobytes() for i in range(300_000)}  # 32 bits: some ten collide
     assert len(seen) == 300_000
