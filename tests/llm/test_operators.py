@@ -12,11 +12,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.llm import audio, lm, neardup, urls
+from papyra.llm import audio, neardup, urls
 from papyra.llm.decontaminate import decontaminate, leak_report
 from papyra.llm.language import identify_languages
 from papyra.llm.lines import drop_lines, line_bitmaps
-from papyra.llm.lm import score_texts
 from papyra.llm.mixing import mix
 from papyra.llm.neardup import duplicate_classes, keep_one
 from papyra.llm.quality import Discriminant, keep_quality, quality_scores
@@ -41,64 +40,6 @@ def held(i, modulus, remainder):
     return i is not None and zlib.crc32(str(i).encode()) % modulus == remainder
 
 
-# 1
-
-
-def test_language_model(spark):
-    docs = awkward(spark, sample_rows())
-    got = score_texts(docs).collect()
-    rows = plain(docs)
-    tokens = [TOKEN.findall((t or "").translate(LOWER)) + [None] for _, t in rows]
-    count = Counter(x for (i, _), k in zip(rows, tokens) if not held(i, 7, 2) for x in k)
-    n, v = sum(count.values()), len(count)
-    want = sorted((str(i), held(i, 7, 2), len(k), sum(count[x] > 0 for x in k), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in k), 5)) for (i, _), k in zip(rows, tokens))
-    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
-    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
-    assert score_texts(empty(spark)).collect() == []
-
-
-def test_mixer_is_a_distribution_and_ignores_grouping():
-    rng = np.random.default_rng(3)
-    table = rng.integers(-60, 60, (lm.CELLS // 16, 16), dtype=np.int16)
-    counts = np.maximum(table, 0).astype(np.int64)
-    trained = lm.stretched(counts).reshape(-1).view(np.uint32)
-    for prefix in (b"", b"ab "):  # over all next bytes, the probabilities add up to 1
-        cost = lm.mix([prefix + bytes([c]) for c in range(1, 256)], trained) - lm.mix([prefix], trained)[0] if prefix else lm.mix([bytes([c]) for c in range(1, 256)], trained)
-        assert 0.9 < np.exp(-cost).sum() <= 1 + 1e-4
-    texts = [b"some text of one kind\n" * k for k in (1, 90, 3)]
-    assert np.allclose(lm.mix(texts, trained), [lm.mix([t], trained)[0] for t in texts])
-
-
-def test_mixer_learns():
-    text = lm.coded(b"The cat sat on the mat and the dog sat on the log. " * 40)[1]
-    total = np.zeros(lm.CELLS, np.int64)
-    np.add.at(total, lm._cells([text]).ravel(), 1)
-    table = lm.stretched(total.reshape(-1, 16)).reshape(-1).view(np.uint32)
-    bits = lm.mix([text], table)[0] / math.log(2) / len(text)
-    assert bits < 1 < 7.9 < lm.mix([text], np.zeros(lm.CELLS, np.uint32))[0] / math.log(2) / len(text)
-
-
-def test_mixer_counts_each_context_apart():
-    rng = np.random.default_rng(8)
-    texts = [lm.coded(" ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n)).encode())[1] for n in (60_000, 30_000)]
-    pairs = lm.Pairs(texts, [False, True])
-    follows = defaultdict(Counter)  # 0.6 million contexts: more than a table of SLOT_BITS has slots for
-    for t, held in zip(texts, (False, True)):
-        padded = bytes(6) + t
-        for i in range(6, len(padded)):
-            follows[padded[i - 6 : i]][padded[i]] += not held
-    odds = lm._pair_odds(pairs.context, pairs.byte, pairs.count, len(pairs.keys)).view(np.int8).reshape(-1, 8)
-    at = pairs.at[lm.ORDERS.index(6)]
-    padded = [bytes(6) + t for t in texts]
-    where = [(p[i - 6 : i], p[i]) for p in padded for i in range(6, len(p))]
-    assert len(set(at.tolist())) == len(set(where)) and (pairs.count[at] == [follows[c][b] for c, b in where]).all()
-    for i in range(0, len(where), 997):
-        c, b = where[i]
-        for bit in range(8):
-            n = [sum(m for x, m in follows[c].items() if x >> (8 - bit) == b >> (8 - bit) and x >> (7 - bit) & 1 == v) + 0.4 for v in (0, 1)]
-            assert abs(odds[at[i], bit] - np.clip(np.log(n[1] / n[0]) * 15, -120, 120)) < 0.51
-
-
 # 2
 
 
