@@ -6,6 +6,8 @@ import base64
 import hashlib
 import hmac
 import secrets
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,18 @@ from pyspark.sql import functions as F
 from papyra.errors import DecryptionFailed
 
 AAD = "papyra-1"
+BAD_PAYLOAD = "papyra: a payload doesn't authenticate"
+
+
+@contextmanager
+def decrypting() -> Iterator[None]:
+    """Reads of encrypted documents: a payload that doesn't authenticate is DecryptionFailed."""
+    try:
+        yield
+    except Exception as e:
+        if BAD_PAYLOAD in str(e):
+            raise DecryptionFailed() from e
+        raise
 
 
 def random_key() -> bytes:

@@ -30,7 +30,7 @@ TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
 def canonical(value: Any) -> Any:
-    """A literal as None, bool, int, float, str, or a date; floats that are whole become ints."""
+    """A literal as None, bool, int, float, str, a date, or a Decimal that no float equals; whole numbers become ints."""
     if isinstance(value, enum.Enum):
         value = value.value
     if value is None or isinstance(value, (bool, str)):
@@ -40,8 +40,11 @@ def canonical(value: Any) -> Any:
     if isinstance(value, int):
         return value
     if isinstance(value, Decimal):
-        value = int(value) if value == value.to_integral_value() else float(value)
-        return canonical(value)
+        if not value.is_finite():
+            return float(value)
+        if value == value.to_integral_value():
+            return int(value)
+        return float(value) if Decimal(float(value)) == value else value
     if isinstance(value, float):
         return int(value) if math.isfinite(value) and value == math.floor(value) and INT_MIN <= value <= INT_MAX else value
     if isinstance(value, (dt.datetime, dt.date)):
@@ -51,25 +54,49 @@ def canonical(value: Any) -> Any:
     raise TypeError(f"not a scalar: {value!r}")
 
 
-def seconds(value: dt.datetime | dt.date) -> int | float:
-    """A date as the number of seconds since 2001."""
+def _micros(value: dt.datetime | dt.date) -> int:
+    """Microseconds since 2001; without a zone the time is in UTC."""
     if not isinstance(value, dt.datetime):
         value = dt.datetime(value.year, value.month, value.day)
     if value.tzinfo is not None:
         value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
-    return canonical((value - _NAIVE_EPOCH).total_seconds())
+    return (value - _NAIVE_EPOCH) // dt.timedelta(microseconds=1)
+
+
+def seconds(value: dt.datetime | dt.date) -> int | float:
+    """A date as the number of seconds since 2001."""
+    return canonical(_micros(value) / 1e6)
+
+
+def _double_text(value: float) -> str:
+    """As Spark writes a double: by the JVM's own rules."""
+    from pyspark import SparkContext
+
+    context = SparkContext._active_spark_context
+    return repr(value) if context is None else context._jvm.java.lang.Double.toString(value)
 
 
-def describe(value: Any) -> str:
-    """The text of a value, as it names partitions."""
+def describe(value: Any, dtype: T.DataType | None = None) -> str:
+    """The text of a value, as it names partitions and ids: the same that describe_column() gives an equal value of a column of this type."""
     v = canonical(value)
     if v is None:
         return "null"
     if isinstance(v, bool):
         return "true" if v else "false"
     if isinstance(v, (dt.datetime, dt.date)):
-        v = seconds(v)
-    return str(v)
+        whole, part = divmod(abs(us := _micros(v)), 1_000_000)
+        return f"{'-' if us < 0 else ''}{whole}" + (f".{part:06d}".rstrip("0") if part else "")
+    if isinstance(v, str):
+        return v
+    if isinstance(dtype, T.DecimalType) and not (isinstance(v, float) and not math.isfinite(v)):
+        text = format(Decimal(v), "f")
+        return text.rstrip("0").rstrip(".") if "." in text else text
+    if isinstance(v, int) and INT_MIN <= v <= INT_MAX:
+        return str(v)
+    try:
+        return _double_text(float(v))
+    except OverflowError:
+        return str(v)
 
 
 def rank(value: Any) -> int:
@@ -88,11 +115,29 @@ def is_scalar(dtype: T.DataType) -> bool:
 def describe_column(c: Column, dtype: T.DataType) -> Column:
     """describe() of a column; null stays null."""
     if isinstance(dtype, FLOATS):
-        whole = (c == F.floor(c)) & (F.abs(c) < float(1 << 63))
-        return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+        return double_text(c.cast("double"))
+    if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
+        return F.regexp_replace(c.cast("string"), r"\.?0+$", "")
+    if isinstance(dtype, TIMES):
+        if isinstance(dtype, T.DateType):
+            us = F.unix_date(c).cast("bigint") * 86_400_000_000
+        else:
+            zoned = F.concat(c.cast("string"), F.lit("Z")).cast("timestamp") if isinstance(dtype, T.TimestampNTZType) else c
+            us = F.unix_micros(zoned)
+        us = us - DATE_EPOCH * 1_000_000
+        part = F.abs(us) % 1_000_000
+        whole = F.regexp_replace((F.abs(us) - part).cast("string"), "000000$", "")
+        tail = F.when(part > 0, F.concat(F.lit("."), F.rtrim(F.lpad(part.cast("string"), 6, "0"), F.lit("0")))).otherwise("")
+        return F.concat(F.when(us < 0, "-").otherwise(""), whole, tail)
     return c.cast("string")
 
 
+def double_text(c: Column) -> Column:
+    """describe() of a double column: whole numbers within 64 bits have no point."""
+    whole = (c == F.floor(c)) & (F.abs(c) < float(1 << 63))
+    return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+
+
 def _const(c: Column, value: bool) -> Column:
     """value where c is present, null elsewhere."""
     return F.when(c.isNotNull(), F.lit(value))
@@ -122,7 +167,7 @@ def _apply(c: Column, op: str, lit: Column) -> Column:
 
 def integer_bound(op: str, v: int | float) -> tuple[str, int] | bool:
     """The question `x op v` for whole x within 64 bits: (op, whole v), or its answer."""
-    if isinstance(v, float):
+    if isinstance(v, (float, Decimal)):
         if math.isnan(v) or v == math.inf:  # above all numbers
             return op in ("lt", "le")
         if v == -math.inf:
@@ -147,11 +192,11 @@ def double_bound(op: str, v: int | float) -> tuple[str, float] | bool:
         near = float(v)
     except OverflowError:
         near = math.inf if v > 0 else -math.inf
-    if math.isfinite(near) and int(near) == v:
+    if math.isfinite(near) and Decimal(near) == v:
         return op, near
     if op == "eq":
         return False
-    low = near if math.isfinite(near) and int(near) < v else math.nextafter(near, -math.inf)
+    low = near if math.isfinite(near) and Decimal(near) < v else math.nextafter(near, -math.inf)
     return ("le", low) if op in ("lt", "le") else ("gt", low)
 
 
@@ -184,7 +229,11 @@ def compare(c: Column, dtype: T.DataType, op: str, value: Any) -> Column | None:
             return _const(c, got)
         op, v = got
         # NaN equals itself and is above all numbers, in Spark too.
-        return _apply(c.cast("double") if isinstance(dtype, T.FloatType) else c, op, F.lit(v))
+        c = c.cast("double") if isinstance(dtype, T.FloatType) else c
+        if v == 0 and op in ("eq", "ge"):  # Parquet's filters tell -0.0 from 0.0
+            low = c >= F.lit(-0.0)
+            return low if op == "ge" else low & (c <= F.lit(0.0))
+        return _apply(c, op, F.lit(0.0 if v == 0 else v))
     if isinstance(dtype, T.DecimalType):
         if isinstance(v, float) and not math.isfinite(v):
             return _const(c, op in (("gt", "ge") if v == -math.inf else ("lt", "le")))

@@ -9,10 +9,11 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from papyra.crypto import decrypting
 from papyra.errors import UnsupportedOperation
 from papyra.functions.paths import Dynamic
 from papyra.operators import predicates as P
-from papyra.plans.planner import QueryPlan, covered, partition_value, plan
+from papyra.plans.planner import QueryPlan, covered, partition_predicate, plan
 
 if TYPE_CHECKING:
     from papyra.sources.collection import Source
@@ -76,9 +77,9 @@ class Query:
 
     def _matches(self) -> DataFrame:
         df = self.source.frame()
-        value = partition_value(self.predicates, self.source.partition_key)
-        if value is not None:
-            pruned = self.source.shard_filter(value)
+        one = partition_predicate(self.predicates, self.source.partition_key)
+        if one is not None:
+            pruned = self.source.shard_filter(one.value)
             if pruned is not None:
                 df = df.where(pruned)
         return df.where(self.condition()) if self.predicates else df
@@ -128,7 +129,8 @@ class Query:
     def execute(self) -> list[Row]:
         df = self.to_df()
         self._note()
-        return df.collect()
+        with decrypting():
+            return df.collect()
 
     def first(self) -> Row | None:
         got = self.limit(1).execute()
@@ -143,7 +145,8 @@ class Query:
         """Matches that offset and limit leave."""
         df = self.count_df()
         self._note()
-        return df.first()["count"]
+        with decrypting():
+            return df.first()["count"]
 
     def distinct_df(self, field: str) -> DataFrame:
         """Distinct scalars of a field among the matches: value, and for fields without a type its key.  Sort and page are ignored."""
@@ -154,16 +157,16 @@ class Query:
         if isinstance(at, Dynamic):
             rows = df.select(at.key.alias("key"), at.value.alias("v")).where(F.col("key").isNotNull())
             return rows.groupBy("key").agg(F.first(F.to_json("v")).alias("value")).orderBy("key").select("value", "key")
-        return df.select(at.column.alias("value")).where(F.col("value").isNotNull()).distinct()
+        return df.select(at.column.alias("value")).where(F.col("value").isNotNull()).distinct().orderBy("value")
 
     def distinct_values(self, field: str) -> list[Any]:
         import json
 
         df = self.distinct_df(field)
         self._note()
-        if "key" in df.columns:
-            return [json.loads(r["value"]) for r in df.collect()]
-        return [r["value"] for r in df.collect()]
+        with decrypting():
+            rows = df.collect()
+        return [json.loads(r["value"]) if "key" in df.columns else r["value"] for r in rows]
 
     def delete(self) -> int:
         """Deletes the matches, as sort, offset and limit have them."""

@@ -67,6 +67,8 @@ class DatabaseOptions:
     encryption_key: bytes | None = field(default=None, repr=False)
     max_fragmentation: float = 0.2
     auto_sync: AutoSync = AutoSync()
+    #: Seconds that files no commit lists are left alone at open: another writer may be about to commit them.
+    recovery_grace: float = 86_400.0
     #: Deleted and replaced ids up to which they are broadcast to readers; beyond, both sides are shuffled.
     broadcast_ids: int = 1_000_000
 

@@ -8,12 +8,14 @@ one anti-join, and none where nothing has been replaced.
 from __future__ import annotations
 
 import json
+import logging
 import threading
 import time
 import urllib.parse
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import replace
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
@@ -25,7 +27,7 @@ from papyra.errors import (
     DatabaseClosed, DecodingFailed, DocumentNotFound, DuplicateId, EncodingFailed, IdFieldMissing, PapyraError, PartitionKeyMissing, UnsupportedOperation,
 )
 from papyra.functions.paths import Dynamic, Resolver
-from papyra.functions.values import canonical, describe, describe_column, is_scalar, rank
+from papyra.functions.values import canonical, compare, describe, describe_column, double_text, is_scalar, rank, seconds
 from papyra.metrics import CollectionMetrics, CollectionStats, Counters
 from papyra.operators.query import Query
 from papyra.options import CollectionOptions, DatabaseOptions
@@ -34,6 +36,9 @@ from papyra.sources.snapshot import DATA, CommitLog, Segment, Snapshot
 
 DOC = "doc"
 INTERNAL = ("_key", "_shard", "_seq")
+LOG = logging.getLogger("papyra")
+#: Documents that stream() asks for at a time, at least, and how often it asks at most.
+FETCH, MAX_PIECES = 4096, 20_000
 MIN_SLOTS = 100
 REWRITE_SHARE = 0.5
 
@@ -55,9 +60,14 @@ class Source:
     def tiebreak(self) -> tuple[Column, ...]:
         return ()
 
-    def shard_filter(self, value: str) -> Column | None:
+    def shard_filter(self, value: Any) -> Column | None:
         return None
 
+    def describe(self, field: str, value: Any) -> str:
+        """The text of a value of a field, as _text_of() gives it for stored ones."""
+        at = self.resolver(field)
+        return describe(value, None if at is None or isinstance(at, Dynamic) else at.dtype)
+
     def check_open(self) -> None:
         pass
 
@@ -98,7 +108,8 @@ class FrameCollection(Source):
 
     def scan_partition(self, value: Any) -> DataFrame:
         at = self.resolver(self.partition_key)
-        return self._df.where(describe_column(at.column, at.dtype) == describe(value))
+        hit = None if at is None else compare(at.column, at.dtype, "eq", value)
+        return self._df.where(F.lit(False) if hit is None else hit)
 
     def count(self) -> int:
         return self._df.count()
@@ -109,9 +120,8 @@ class FrameCollection(Source):
         return pull(self._df, batch_size)
 
 
-def shard_name(value: Any, key: bytes | None = None) -> str:
-    """The shard of a partition value."""
-    text = describe(value)
+def shard_name(text: str, key: bytes | None = None) -> str:
+    """The shard of a partition value's text."""
     if key is not None:
         return crypto.hmac_text(text, key)
     return urllib.parse.quote(text, safe="-_.").replace("~", "%7E") or "_"
@@ -124,10 +134,6 @@ def _shard_column(text: Column, key: bytes | None) -> Column:
     return F.when(text == "", F.lit("_")).otherwise(coded)
 
 
-def _key_text(value: Any) -> str:
-    return f"{rank(value)}:{describe(value)}"
-
-
 class WriteBatch:
     """Collects operations; they take effect together, or none does."""
 
@@ -207,6 +213,8 @@ class Collection(Source):
         if self._secret is None:
             return rows
         text = crypto.decrypt(F.col("payload"), self._secret).cast("string")
+        # A payload that doesn't authenticate fails the read; it is never a document of nulls.
+        text = F.coalesce(text, F.raise_error(F.lit(crypto.BAD_PAYLOAD)).cast("string"))
         if self.schema is None:
             return rows.select(F.try_parse_json(text).alias(DOC), *INTERNAL)
         return rows.select(F.from_json(text, self.schema).alias("_doc"), *INTERNAL).select("_doc.*", *INTERNAL)
@@ -222,8 +230,11 @@ class Collection(Source):
         at = self.resolver(self.id_field)
         return (at.key if isinstance(at, Dynamic) else at.column,)
 
-    def shard_filter(self, value: str) -> Column | None:
-        return F.col("_shard") == shard_name(value, self._secret)
+    def shard_filter(self, value: Any) -> Column | None:
+        return F.col("_shard") == shard_name(self.describe(self.partition_key, value), self._secret)
+
+    def _key_of(self, id: Any) -> str:
+        return self._hashed(f"{rank(id)}:{self.describe(self.id_field, id)}")
 
     def all(self) -> DataFrame:
         """All documents; a DataFrame that has been handed out keeps reading the snapshot it was made from."""
@@ -233,13 +244,11 @@ class Collection(Source):
     def scan_partition(self, value: Any) -> DataFrame:
         """Documents of the value's shard; an unknown value has none."""
         self.counters.add(partition_scans=1)
-        return self.documents(self.frame().where(self.shard_filter(describe(value)))) if self.partition_key else self.documents(self.frame())
+        return self.documents(self.frame().where(self.shard_filter(value))) if self.partition_key else self.documents(self.frame())
 
     def _by_key(self, id: Any) -> DataFrame:
-        rows = self._live().where(F.col("_key") == self._hashed(_key_text(id)))
+        rows = self._live().where(F.col("_key") == self._key_of(id))
         if self.schema is not None and self._secret is None:  # statistics of the typed column skip row groups
-            from papyra.functions.values import compare
-
             at = self.resolver(self.id_field)
             hit = compare(at.column, at.dtype, "eq", id)
             rows = rows.where(hit if hit is not None else F.lit(False))
@@ -247,7 +256,8 @@ class Collection(Source):
 
     def get(self, id: Any) -> Row | Any | None:
         self.check_open()
-        got = self.documents(self._opened(self._by_key(id))).limit(1).collect()
+        with crypto.decrypting():
+            got = self.documents(self._opened(self._by_key(id))).limit(1).collect()
         self.counters.add(index_lookups=1)
         return self._out(got[0]) if got else None
 
@@ -259,12 +269,26 @@ class Collection(Source):
         return self._snapshot.documents
 
     def stream(self, batch_size: int = 64) -> Iterator[Any]:
-        """Each live document once, shard by shard, with one batch in memory; the snapshot is that of the call."""
+        """Each live document once, by shard and id text; the snapshot is that of the call.
+
+        The documents are ranged into pieces of about batch_size, FETCH at least (more where that would be over MAX_PIECES pieces),
+        and the driver holds one piece at a time: one shuffle, then as many fetches.
+        """
         from papyra.streaming.pull import pull
 
         self.check_open()
-        rows = self.documents(self.frame().sortWithinPartitions("_shard"))
-        return (self._out(r) for r in pull(rows, batch_size, self.check_open))
+        count = self._snapshot.documents
+        pieces = min(MAX_PIECES, -(-count // max(FETCH, batch_size)))
+        rows = self.frame()
+        rows = rows.repartitionByRange(pieces, "_shard", "_key") if pieces > 1 else rows.coalesce(1)
+        rows = self.documents(rows.sortWithinPartitions("_shard", "_key"))
+
+        def documents() -> Iterator[Any]:
+            with crypto.decrypting():
+                for r in pull(rows, batch_size, self.check_open):
+                    yield self._out(r)
+
+        return documents()
 
     # writing
 
@@ -314,8 +338,10 @@ class Collection(Source):
                 pass
             if v is not None and is_scalar(f.dataType) and not _fits(v, f):
                 raise EncodingFailed(f"'{f.name}' doesn't fit the schema")
-            if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and isinstance(v, int) and not isinstance(v, bool):
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and isinstance(v, (int, Decimal)) and not isinstance(v, bool):
                 v = float(v)
+            if isinstance(f.dataType, T.DecimalType) and isinstance(v, (int, float)) and not isinstance(v, bool):
+                v = Decimal(str(v))
             out.append(v)
         return out
 
@@ -326,7 +352,7 @@ class Collection(Source):
             return F.lit(None).cast("string"), F.lit(None).cast("int")
         if isinstance(at, Dynamic):
             key = at.key
-            number = F.when(key["fp"] == 0, key["ip"].cast("string")).otherwise(F.coalesce(key["ip"] + key["fp"], key["big"]).cast("string"))
+            number = F.coalesce(F.when(key["fp"] == 0, key["ip"].cast("string")), double_text(F.try_variant_get(at.value, "$", "double")))
             text = F.when(at.rank == 0, F.lit("null")).when(at.rank == 1, F.when(key["ip"] == 1, "true").otherwise("false")).when(at.rank == 2, number).otherwise(key["str"])
             return text, at.rank
         kind = 3 if isinstance(at.dtype, T.StringType) else 1 if isinstance(at.dtype, T.BooleanType) else 2
@@ -413,6 +439,7 @@ class Collection(Source):
     def _commit(self, snapshot: Snapshot, writes: int) -> None:
         self._log.commit(snapshot)
         self._snapshot = snapshot
+        LOG.info("%s: commit %d, %d documents in %d segments", self.name, snapshot.version, snapshot.documents, len(snapshot.segments))
         self._writes += writes
         auto = self.options.auto_sync
         if auto.writes is not None and self._writes >= auto.writes or auto.seconds is not None and time.monotonic() - self._synced >= auto.seconds:
@@ -438,6 +465,8 @@ class Collection(Source):
                     raise error
             return self._add(segment, {})
 
+    insert_batch = insert_many
+
     def _add(self, segment: Segment, dead: dict[str, int]) -> int:
         if segment.rows:
             try:
@@ -490,7 +519,7 @@ class Collection(Source):
                     raise UnsupportedOperation(f"patch of '{name}' with a value that is no scalar") from e
             old = self.get(id)
             if old is None:
-                raise DocumentNotFound(describe(id))
+                raise DocumentNotFound(self.describe(self.id_field, id))
             if not changes:
                 return old
             merged = {**(old.asDict(recursive=True) if isinstance(old, Row) else old), **changes}
@@ -509,7 +538,7 @@ class Collection(Source):
         """Removes those that are there; returns their number."""
         with self._lock:
             self.check_open()
-            keys = sorted({self._hashed(_key_text(i)) for i in ids})
+            keys = sorted({self._key_of(i) for i in ids})
             if not keys:
                 return 0
             return self._delete(self.spark.createDataFrame([(k,) for k in keys], "_key string"))
@@ -543,10 +572,18 @@ class Collection(Source):
             at = self.resolver(self.id_field)
             rows = rows.repartition("_shard", F.pmod(F.xxhash64("_key"), F.lit(8))).sortWithinPartitions("_shard", at.column)
         base = self._write(rows, "rows", seq) if count else None
-        for n in self._garbage:  # replaced before the last rewrite; nothing older is handed out any more
-            self._files.delete(n)
-        self._garbage = [f"{self.name}/{DATA}/_run={s.run}" for s in old.segments]
         self._commit(old.rebased(base, seq + 1), writes)
+        self._sweep()
+        for n in dict.fromkeys(f"{self.name}/{DATA}/_run={s.run}" for s in old.segments):
+            self._files.replace(f"{n}/_replaced", b"")  # from now on it ages
+            self._garbage.append(n)
+
+    def _sweep(self) -> None:
+        """Deletes what was replaced longer ago than the grace time; other handles may still read what is younger."""
+        for n in list(self._garbage):
+            if self._files.age(n) >= self.options.recovery_grace:
+                self._files.delete(n)
+                self._garbage.remove(n)
 
     def write_batch(self, body: Callable[[WriteBatch], None]) -> None:
         """Runs body on a buffer and applies it in one commit.  If body raises, or anything is wrong, nothing is written."""
@@ -572,7 +609,7 @@ class Collection(Source):
         rows = {k: iter(f.select("_key", "_id", "_part").collect()) for k, f in frames.items()}  # as many as the caller passed in
         for kind, value in batch.operations:
             if kind == "delete":
-                key, id = self._hashed(_key_text(value)), describe(value)
+                key, id = self._key_of(value), self.describe(self.id_field, value)
             else:
                 r = next(rows[kind])
                 key, id = r["_key"], r["_id"]
@@ -595,7 +632,7 @@ class Collection(Source):
             if gone is not None:
                 raise DocumentNotFound(gone)
         seq, new = self._snapshot.next_seq, []
-        keys = self.spark.createDataFrame([(self._hashed(_key_text(i)),) for i in deletes] or [], "_key string")
+        keys = self.spark.createDataFrame([(self._key_of(i),) for i in deletes] or [], "_key string")
         dead: dict[str, int] = {}
         if "insert" in frames:
             new.append(self._write(frames["insert"], "rows", seq + len(new)))
@@ -666,14 +703,13 @@ class Collection(Source):
         with self._lock:
             if not self._closed:
                 self.sync()
-                for n in self._garbage:
-                    self._files.delete(n)
+                self._sweep()
                 self._closed = True
 
 
 def _json_scalar(value: Any) -> Any:
     v = canonical(value)
-    return v if isinstance(v, (bool, int, float, str, type(None))) else describe(v)
+    return v if isinstance(v, (bool, int, float, str, type(None))) else float(v) if isinstance(v, Decimal) else seconds(v)
 
 
 def _fits(value: Any, f: T.StructField) -> bool:
@@ -691,8 +727,8 @@ def _fits(value: Any, f: T.StructField) -> bool:
     if isinstance(t, T.StringType):
         return isinstance(v, str)
     if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-        return isinstance(v, (int, float))
+        return isinstance(v, (int, float, Decimal))
     if isinstance(t, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         bits = {T.LongType: 63, T.IntegerType: 31, T.ShortType: 15, T.ByteType: 7}[type(t)]
         return isinstance(v, int) and -(1 << bits) <= v < 1 << bits
-    return rank(v) == 2 and not isinstance(v, (int, float, str))
+    return rank(v) == 2 and not isinstance(v, (int, float, str, Decimal))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import urllib.parse
 
 from pyspark.sql import SparkSession
 
@@ -48,17 +49,62 @@ class Files:
             stream.close()
 
     def write_new(self, name: str, data: bytes) -> bool:
-        """Creates the file with its whole content at once; false if it is there already.
+        """Creates the file with its whole content at once; false if it is there already.  Of several writers one wins, and a reader never sees half a file.
 
-        The content goes to a temporary name first, so a reader never sees half a file.
+        Local: a hard link to a finished file, which fails if the name is taken.  HDFS: a rename, which does too.
+        Object stores: a put that is conditional on the name being free (of S3A, in Hadoop 3.4.2 and later).
         """
-        target, part = self._path(name), self._path(f"{name}.{os.getpid()}.{os.urandom(4).hex()}.part")
-        self._put(part, data)
-        if self._fs.exists(target) or not self._fs.rename(part, target):
+        target = self._path(name)
+        scheme = self._fs.getUri().getScheme()
+        if scheme == "file":
+            at = urllib.parse.unquote(target.toUri().getPath())
+            os.makedirs(os.path.dirname(at), exist_ok=True)
+            part = f"{at}.{os.getpid()}.{os.urandom(4).hex()}.part"
+            try:
+                with open(part, "xb") as f:
+                    f.write(data)
+                    f.flush()
+                    os.fsync(f.fileno())
+                os.link(part, at)
+            except FileExistsError:
+                return False
+            finally:
+                if os.path.exists(part):
+                    os.unlink(part)
+            return True
+        if scheme in ("hdfs", "viewfs"):
+            part = self._path(f"{name}.{os.getpid()}.{os.urandom(4).hex()}.part")
+            self._put(part, data)
+            if self._fs.rename(part, target):
+                return True
             self._fs.delete(part, False)
             return False
+        try:
+            stream = self._fs.create(target, False)
+            try:
+                stream.write(data)
+            finally:
+                stream.close()
+        except Exception as e:
+            if self._fs.exists(target):
+                return False
+            raise IOFailure(name) from e
         return True
 
+    def age(self, name: str) -> float:
+        """Seconds since anything in the folder, two levels down, was last changed."""
+        import time
+
+        if not self.exists(name):
+            return float("inf")
+        newest, level = 0, [self._path(name)]
+        for _ in range(3):
+            below = [s for p in level for s in self._fs.listStatus(p)]
+            newest = max([newest, *(s.getModificationTime() for s in below)])
+            level = [s.getPath() for s in below if s.isDirectory()]
+        newest = max(newest, self._fs.getFileStatus(self._path(name)).getModificationTime())
+        return time.time() - newest / 1000
+
     def replace(self, name: str, data: bytes) -> None:
         self._put(self._path(name), data)
 

@@ -1,4 +1,4 @@
-"""Pull iteration over a DataFrame, a bounded batch at a time."""
+"""Pull iteration over a DataFrame, one partition in memory at a time."""
 
 from __future__ import annotations
 

@@ -147,7 +147,9 @@ def test_reopen_recovers_and_checks_configuration(spark, tmp_path, db):
     c.insert_many([doc(i) for i in range(5)])
     rows = c._frame_of([doc(50), doc(51, "US")])
     c._write(rows, "rows", c._snapshot.next_seq)  # a write that dies before its commit
-    again = Database(spark, db.path)
+    young = Database(spark, db.path)  # another writer may be about to commit it
+    assert young.collection("c", SCHEMA, OPTIONS).metrics().shards_recovered_from_dirty == 0
+    again = Database(spark, db.path, DatabaseOptions(recovery_grace=0))
     with pytest.raises(E.CollectionTypeMismatch):
         again.collection("c", SCHEMA, CollectionOptions("id"))
     d = again.collection("c", SCHEMA, CollectionOptions("id", "city", ("name",)))
@@ -159,6 +161,53 @@ def test_reopen_recovers_and_checks_configuration(spark, tmp_path, db):
     assert sorted(state(Database(spark, db.path).collection("c", SCHEMA, OPTIONS))) == [0, 1, 2, 3, 4, 60]
 
 
+def test_damaged_commit_is_an_error(spark, db):
+    c = db.collection("c", SCHEMA, OPTIONS)
+    c.insert(doc(1))
+    c.insert(doc(2))
+    last = f"c/log/{c._snapshot.version:020d}.json"
+    db._files.replace(last, db._files.read(last)[:-20])
+    with pytest.raises(E.CorruptedRecord):
+        Database(spark, db.path).collection("c", SCHEMA, OPTIONS)
+
+
+def test_opening_spares_what_others_have_staged(spark, db, monkeypatch):
+    a = db.collection("c", SCHEMA, OPTIONS)
+    commit = a._commit
+
+    def late(snapshot, writes):
+        Database(spark, db.path).collection("c", SCHEMA, OPTIONS)
+        commit(snapshot, writes)
+
+    monkeypatch.setattr(a, "_commit", late)
+    a.insert(doc(1))
+    assert sorted(state(Database(spark, db.path).collection("c", SCHEMA, OPTIONS))) == [1]
+    staged = a._write(a._frame_of([doc(2)]), "rows", a._snapshot.next_seq)
+    a._discard(staged)
+    with pytest.raises(E.IOFailure):
+        commit(a._snapshot.with_segments([staged], {}), 1)
+
+
+def test_one_of_many_writers_of_a_file_wins(spark, db):
+    from concurrent.futures import ThreadPoolExecutor
+
+    for k in range(20):
+        with ThreadPoolExecutor(8) as pool:
+            won = list(pool.map(lambda i: db._files.write_new(f"log/{k}", str(i).encode()), range(8)))
+        assert sum(won) == 1 and db._files.read(f"log/{k}") == str(won.index(True)).encode()
+
+
+def test_readers_outlive_compactions(spark, db):
+    c = db.collection("c", SCHEMA, OPTIONS)
+    c.insert_many([doc(i) for i in range(4)])
+    behind = Database(spark, db.path).collection("c", SCHEMA, OPTIONS)
+    for i in range(3):
+        c.delete(i)
+        c.compact()
+    assert len(state(behind)) == 4 and sorted(state(c)) == [3]
+    assert db.vacuum("c") == 0 and db.vacuum("c", older_than=0) > 0 and sorted(state(c)) == [3]
+
+
 def test_two_writers_dont_lose_writes(spark, db):
     a = db.collection("c", SCHEMA, OPTIONS)
     a.insert(doc(1))
@@ -209,7 +258,13 @@ def test_encryption(spark, tmp_path):
             Database(spark, path, DatabaseOptions(encryption_key=wrong)).collection("c", SCHEMA, OPTIONS)
     d = Database(spark, path, o).collection("c", SCHEMA, OPTIONS)
     d.compact()
-    assert sorted(state(d)) == [1, 2] and d.delete(1)
+    assert sorted(state(d)) == [1, 2]
+    d._secret = crypto.random_key()  # as if the stored payloads had been changed
+    for read in (lambda: d.find().execute(), lambda: list(d.stream()), lambda: d.find().where("age", less_than=9).count(), lambda: d.find().distinct_values("name")):
+        with pytest.raises(E.DecryptionFailed):
+            read()
+    d._secret = key
+    assert d.delete(1)
 
 
 def test_changes_stream(spark, tmp_path, db):
