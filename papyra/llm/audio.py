@@ -8,11 +8,11 @@ integer.  Two recordings are compared at every offset at which any of their
 integers agree in the upper 24 bits, by the share of bits that differ there; of the alignments, that of most agreements counts.
 
 Queries (ids divisible by 20) are matched against all clips: both sides are
-joined on the keys of their frames, and all pairs that share a key are compared; a
-key that very many clips share (silence) is met by salting its rows, not by dropping them.
+joined on the keys of their frames, and all pairs that share a key are compared; rows of a
+key that very many clips share are salted.  Frames without any sound have no key, and don't count where both recordings have them.
 
-Cases.  Null, empty and very short audio: no integers, no match.  A trailing odd byte is left out.
-Null ids are fingerprinted but not matched.  Repeated rows are fingerprinted each; they match as one id.
+Cases.  Null, empty and very short audio: no integers, no match.  A trailing odd byte is left out.  Silence matches nothing.
+Null ids are fingerprinted but not matched.  Repeated rows are fingerprinted each; they match as one id, and so do rows of one id with different audio.
 Long clips are read in pieces of frames.  Columns other than those named are ignored.
 """
 
@@ -39,14 +39,18 @@ LIST = 1024
 _PIECE = 512
 
 
-def _filters() -> list[tuple[int, int, int, int, int, tuple[float, float, float]]]:
-    """kind, first class, classes, frames, shift; the thresholds between the four levels."""
-    shapes = [(0, 4, 3, 15), (4, 4, 6, 15), (1, 0, 4, 16), (3, 8, 2, 12), (3, 4, 4, 8), (4, 0, 3, 5), (1, 2, 2, 9), (2, 7, 3, 4),
-              (2, 6, 2, 16), (2, 1, 3, 2), (5, 10, 1, 15), (3, 6, 2, 10), (2, 1, 1, 14), (3, 5, 6, 4), (1, 9, 2, 12), (3, 4, 2, 14)]
-    return [(k, c, n, w, 0, (-0.12, 0.0, 0.12)) for k, c, n, w in shapes]
+#: kind, first class, classes, frames.  Own choice: all kinds of difference, spread over classes and lengths.
+_SHAPES = [(1, 0, 6, 16), (1, 6, 6, 16), (1, 3, 6, 12), (2, 0, 3, 16), (2, 3, 3, 16), (2, 6, 3, 16), (2, 9, 3, 16), (3, 0, 6, 16),
+           (3, 4, 8, 14), (4, 1, 6, 16), (4, 6, 6, 12), (5, 0, 4, 15), (5, 4, 4, 15), (5, 8, 4, 15), (1, 1, 2, 16), (1, 8, 2, 16)]
+#: Thresholds between each filter's four levels: the quartiles of its answers over 300 random melodies, so that each bit halves what it sees.
+_CUTS = [
+    (-0.504, -0.091, 0.334), (-0.344, 0.054, 0.469), (-0.455, 0.018, 0.488), (-0.43, -0.009, 0.404),
+    (-0.44, 0.011, 0.454), (-0.432, -0.002, 0.438), (-0.42, 0.001, 0.417), (-0.387, -0.017, 0.36),
+    (-0.349, -0.001, 0.344), (-1.108, -0.651, -0.243), (-1.125, -0.634, -0.187), (-0.928, -0.575, -0.269),
+    (-0.946, -0.571, -0.233), (-0.926, -0.569, -0.252), (-0.684, -0.009, 0.636), (-0.575, 0.021, 0.63),
+]
 
 
-_FILTERS = _filters()
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -84,8 +88,6 @@ def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
 def _areas(kind: int, c: int, n: int, w: int) -> list[tuple[float, int, int, int, int]]:
     """Signed rectangles (sign, frame from, to, class from, to) of a filter."""
     half_w, half_n, third = w // 2, n // 2, w // 3
-    if kind == 0 or n < 2 and kind in (1, 3):
-        return [(1, 0, w, c, c + n)]
     if kind == 1:
         return [(1, 0, w, c + half_n, c + n), (-1, 0, w, c, c + half_n)]
     if kind == 2:
@@ -108,27 +110,37 @@ def fingerprint(pcm: bytes | None, rate: int = RATE) -> np.ndarray:
     integral[1:, 1:] = image.cumsum(0).cumsum(1)
     at = np.arange(n)
     out = np.zeros(n, np.uint32)
-    for kind, c, classes, w, shift, cuts in _FILTERS:
-        plus = minus = 0.0
-        for sign, f0, f1, c0, c1 in _areas(kind, c, min(classes, 12 - c), w):
-            s = integral[at + f1 + shift, c1] - integral[at + f0 + shift, c1] - integral[at + f1 + shift, c0] + integral[at + f0 + shift, c0]
-            plus, minus = (plus + s, minus) if sign > 0 else (plus, minus + s)
-        value = np.log((1 + plus) / (1 + minus)) if kind else np.log1p(plus) - np.log1p(w * classes / 4)
+    for value, cuts in zip(responses(integral, at), _CUTS):
         out = (out << np.uint32(2)) | _GRAY[np.searchsorted(cuts, value)]
     return out
 
 
+#: The integer of a frame without any sound: it votes for nothing and is left out where both sides have it.
+SILENT = np.uint32(sum(int(_GRAY[np.searchsorted(cuts, 0.0)]) << (30 - 2 * i) for i, cuts in enumerate(_CUTS)))
+
+
+def responses(integral: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """What each filter answers at some frames: the log ratio of its two areas."""
+    for kind, c, classes, w in _SHAPES:
+        plus = minus = 0.0
+        for sign, f0, f1, c0, c1 in _areas(kind, c, classes, w):
+            s = integral[at + f1, c1] - integral[at + f0, c1] - integral[at + f1, c0] + integral[at + f0, c0]
+            plus, minus = (plus + s, minus) if sign > 0 else (plus, minus + s)
+        yield np.log((1 + plus) / (1 + minus))
+
+
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
-    """The alignment of b against a, of all offsets at which a key agrees: offset, frames that overlap there, share of differing bits.
+    """The alignment of b against a, of all offsets at which a key agrees: offset, frames that overlap there and aren't silent in both, share of differing bits.
 
     Where several offsets are alignments, the one at which most keys agree, then that of the fewest errors, then the smallest shift;
     where none is, that of the fewest errors.
     """
     ka, kb = a >> np.uint32(KEY_SHIFT), b >> np.uint32(KEY_SHIFT)
-    order = np.argsort(kb, kind="stable")
+    order = np.flatnonzero(b != SILENT)
+    order = order[np.argsort(kb[order], kind="stable")]
     lo, hi = (np.searchsorted(kb[order], ka, side=s) for s in ("left", "right"))
     hist = np.zeros(len(a) + len(b), np.int64)
-    for i in np.flatnonzero(hi > lo):  # one frame of a with all frames of b of its key
+    for i in np.flatnonzero((hi > lo) & (a != SILENT)):  # one frame of a with all frames of b of its key
         np.add.at(hist, order[lo[i] : hi[i]] - i + len(a), 1)
     if not hist.any():
         return 0, 0, 1.0
@@ -136,7 +148,10 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
     for off in np.flatnonzero(hist) - len(a):
         i0, j0 = max(0, -off), max(0, off)
         n = min(len(a) - i0, len(b) - j0)
-        error = float(np.bitwise_count(a[i0 : i0 + n] ^ b[j0 : j0 + n]).mean() / 32)
+        x, y = a[i0 : i0 + n], b[j0 : j0 + n]
+        heard = (x != SILENT) | (y != SILENT)
+        n = int(heard.sum())
+        error = float(np.bitwise_count((x ^ y)[heard]).sum() / (32 * n)) if n else 1.0
         ok = n >= MIN_FRAMES and error <= MAX_ERROR
         rank = (ok, int(hist[off + len(a)]) if ok else 0, -error, -abs(int(off)))
         if rank > best:
@@ -170,22 +185,27 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def match_recordings(media: DataFrame, *, id: str = "id", audio: str = "audio", rate: int = RATE, every: int = 20) -> DataFrame:
     """query_id, match_id, offset, frames, bit_error: clips that align with a query (an id divisible by every)."""
-    prints = written(fingerprints(media, id=id, audio=audio, rate=rate).where("id IS NOT NULL").dropDuplicates(["id"]), "prints")
-    return match_prints(prints, every=every)
+    return match_prints(written(fingerprints(media, id=id, audio=audio, rate=rate).where("id IS NOT NULL AND size(fp) > 0"), "prints"), every=every)
 
 
 def match_prints(prints: DataFrame, *, every: int = 20) -> DataFrame:
-    """match_recordings of fingerprints: id, fp."""
-    keys = prints.select("id", F.explode("fp").alias("v")).select("id", F.shiftrightunsigned("v", KEY_SHIFT).alias("key")).distinct()
-    q = keys.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.col("key").alias("qk"))
+    """match_recordings of fingerprints: id, fp.  Rows of one id with different audio are compared each; of their alignments that of the fewest errors counts."""
+    prints = prints.select("id", F.xxhash64("id", "fp").alias("row"), "fp")
+    keys = prints.select("id", "row", F.explode("fp").alias("v")).where(F.col("v") != F.lit(int(np.uint32(SILENT).view(np.int32))))
+    keys = keys.select("id", "row", F.shiftrightunsigned("v", KEY_SHIFT).alias("key")).distinct()
+    q = keys.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.col("row").alias("query_row"), F.col("key").alias("qk"))
     # Hot keys: the queries' rows are copied to each salt, the clips' rows are spread over them.
     q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("qs"))
-    c = keys.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"))
-    pairs = q.join(c, (F.col("qk") == F.col("key")) & (F.col("qs") == F.col("s"))).where("query_id <> id").select("query_id", F.col("id").alias("match_id")).distinct()
-    a = prints.select(F.col("id").alias("query_id"), F.col("fp").alias("fa"))
-    b = prints.select(F.col("id").alias("match_id"), F.col("fp").alias("fb"))
-    rows = pairs.join(a, "query_id").join(b, "match_id").select("query_id", "match_id", "fa", "fb")
-    return map_arrow(rows, _aligned, "query_id bigint, match_id bigint, offset int, frames int, bit_error double")
+    c = keys.withColumn("s", F.pmod(F.xxhash64("row"), F.lit(8)).cast("int"))
+    pairs = q.join(c, (F.col("qk") == F.col("key")) & (F.col("qs") == F.col("s"))).where("query_id <> id").select("query_id", "query_row", F.col("id").alias("match_id"), F.col("row").alias("match_row")).distinct()
+    one = prints.groupBy("row").agg(F.first("fp").alias("fp"))  # repeated rows are alike
+    a = one.select(F.col("row").alias("query_row"), F.col("fp").alias("fa"))
+    b = one.select(F.col("row").alias("match_row"), F.col("fp").alias("fb"))
+    rows = pairs.join(a, "query_row").join(b, "match_row").select("query_id", "match_id", "fa", "fb")
+    found = map_arrow(rows, _aligned, "query_id bigint, match_id bigint, offset int, frames int, bit_error double")
+    best = F.min(F.struct("bit_error", (-F.col("frames")).alias("less"), F.abs("offset").alias("shift"), "offset")).alias("x")
+    found = found.groupBy("query_id", "match_id").agg(best)
+    return found.select("query_id", "match_id", "x.offset", (-F.col("x.less")).alias("frames"), "x.bit_error")
 
 
 def grouped_matches(matches: DataFrame) -> DataFrame:
@@ -201,27 +221,46 @@ def grouped_matches(matches: DataFrame) -> DataFrame:
 # --- a media table for tests and for the query
 
 
-NOTE = 1365
+NOTE = 1500
+
+
+@lru_cache
+def _notes(rate: int) -> np.ndarray:
+    """The 24 half tones from 220 Hz."""
+    t = np.arange(NOTE) / rate
+    hertz = 220 * 2 ** (np.arange(24) / 12)
+    return (12000 * (np.sin(2 * np.pi * hertz[:, None] * t) + 0.4 * np.sin(4 * np.pi * hertz[:, None] * t))).astype("<i2")
 
 
 def render(values: np.ndarray, rate: int = RATE) -> bytes:
     """PCM of a melody: each value is a note of NOTE samples, its pitch one of 24 half tones by the value's rank among fixed steps."""
     tone = np.clip(np.floor((np.asarray(values, np.float64) + 0.3) * 40), 0, 23)
-    hertz = 220 * 2 ** (tone / 12)
-    t = np.arange(NOTE) / rate
-    wave = np.sin(2 * np.pi * hertz[:, None] * t) + 0.4 * np.sin(4 * np.pi * hertz[:, None] * t)
-    return (wave.ravel() * 12000).astype("<i2").tobytes()
+    return _notes(rate)[tone.astype(np.int32)].tobytes()
 
 
-def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(b.num_rows):  # one clip at a time: a clip is far larger than its vector
-            v = b.column(1)[i].as_py()
-            pcm = render(np.array([x for x in v if x is not None])) if v else None
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([pcm], pa.binary())], names=["id", "audio"])
+def rerecorded(pcm: bytes, seed: int) -> bytes:
+    """The same melody as another device might take it: it starts up to a few notes late and in mid frame, at another volume, with noise."""
+    rng = np.random.default_rng(seed)
+    x = np.frombuffer(pcm, "<i2").astype(np.float32)[int(rng.integers(0, min(4 * NOTE, len(pcm) // 8 + 1))) :]
+    x = x * np.float32(rng.uniform(0.3, 1.0)) + rng.normal(0, 300, len(x)).astype(np.float32)
+    return np.clip(x, -32768, 32767).astype("<i2").tobytes()
+
+
+def _rendered(again: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):  # one clip at a time: a clip is far larger than its vector
+                n, v = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                pcm = render(np.array([x for x in v if x is not None])) if v else None
+                rows = [(None if n is None else 2 * n, pcm)]
+                if n is not None and n % again == 0:
+                    rows.append((2 * n + 1, None if pcm is None else rerecorded(pcm, n & 0xFFFFFFFF)))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["id", "audio"])
+
+    return run
 
 
-def clips(embeddings: DataFrame, *, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """id, audio: each vector as a melody; a null or empty vector as null audio."""
+def clips(embeddings: DataFrame, *, id: str = "vec_id", vector: str = "embedding", again: int = 10) -> DataFrame:
+    """id, audio: each vector as a melody, with twice its id; of ids divisible by `again` one more recording, with the id after.  A null or empty vector as null audio."""
     rows = embeddings.select(F.col(id).cast("bigint").alias("id"), F.col(vector).alias("v"))
-    return map_arrow(rows, _rendered, "id bigint, audio binary")
+    return map_arrow(rows, _rendered(again), "id bigint, audio binary")
