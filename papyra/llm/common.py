@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space, as `bytes.split()` and the contracts' [\x20\x09-\x0D] have it.
@@ -64,10 +65,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def forget_written() -> None:
-    """Delete the tables written so far; results not yet computed from them are lost."""
-    while _written:
-        spark, path = _written.pop()
+def mark_written() -> int:
+    """Stands for the tables written so far."""
+    return len(_written)
+
+
+def forget_written(since: int = 0, but: int = 0) -> None:
+    """Delete the tables written since a mark, but the last ones; results not yet computed from them are lost."""
+    gone = _written[since : len(_written) - but]
+    del _written[since : len(_written) - but]
+    for spark, path in gone:
         try:
             _delete(spark, path)
         except Exception:  # the session has ended: nothing can be reached any more
@@ -81,8 +88,25 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def col(name: str) -> Column:
+    """A column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for internal columns that none of df's columns has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_arrow(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType
 ) -> DataFrame:
     """mapInArrow with batches small enough for very long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -99,6 +123,15 @@ def fold(id_col: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def picked(rows: DataFrame, key: Column, sample: int) -> DataFrame:
+    """At most ``sample`` rows, those with the smallest 64-bit hashes (key): first by a threshold that lets about that many through,
+    so that no task or driver gets more than it has to, then exactly."""
+    n = rows.count()
+    if n > sample:
+        rows = rows.where(key < F.lit(int(-(1 << 63) + (1 << 64) * min(1.0, (sample + 6 * sample**0.5 + 30) / n)) - 1))
+    return rows.orderBy(key).limit(sample)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and nothing else; the JVM's fast path where all of it is ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

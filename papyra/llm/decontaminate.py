@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import words
+from papyra.llm.common import col, fresh, words
 
 #: The benchmark's windows are broadcast up to this many; beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 50_000
@@ -86,7 +86,7 @@ def find_leaks(
     few = sum(sizes.values()) <= broadcast_windows
 
     docs = documents.select(
-        F.col(doc_id).alias("d"), F.xxhash64(F.col(text)).alias("t"), once(words(F.col(text))).alias("w")
+        col(doc_id).alias("d"), F.xxhash64(col(text)).alias("t"), once(words(col(text))).alias("w")
     ).withColumn("nw", F.size("w"))
     docs = docs.withColumn("hs", F.concat(F.array(F.lit(0).cast("bigint")), *(_blocks(F.col("w"), k) for k in lengths)))
     rows = docs.select("d", "t", "nw", "w", F.posexplode_outer("hs").alias("p", "h"))  # never empty; outer: no filter that computes it twice
@@ -182,20 +182,20 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, remove: str = "
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
+    id_, hash_, spans, p, lead_ = fresh(documents, "id_", "hash_", "spans_", "pieces_", "lead_")
     leaks = (
         find_leaks(documents, benchmark, doc_id=doc_id, text=text, **names)
         .where(F.size("spans") > 0)
-        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__t"), F.col("spans").alias("__spans"))
-        .dropDuplicates(["__id", "__t"])
+        .select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("spans").alias(spans))
+        .dropDuplicates([id_, hash_])
     )
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__t"))
+    same = col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(col(text)) == F.col(hash_))
     if remove == "documents":
-        return documents.join(leaks.select("__id", "__t"), same, "left_anti")
-    pieces = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(f"[{RAW_NON_WORD}]+|[^{RAW_NON_WORD}]+"), F.lit(0))
-    lead = F.when(F.element_at("__p", 1).rlike(f"^[^{RAW_NON_WORD}]"), F.lit(0)).otherwise(F.lit(1))
-    number = lambda i: F.floor((i - F.col("__lead")) / 2) + 1  # noqa: E731 - a separator counts with the word before it
-    cut = F.filter("__p", lambda _, i: ~F.exists("__spans", lambda s: number(i).between(s["first"], s["last"])))
-    joined = documents.join(leaks, same, "left").select("*", once(F.when(F.size("__spans") > 0, pieces)).alias("__p")).withColumn("__lead", lead)
-    return joined.withColumn(
-        text, F.when(F.col("__p").isNotNull(), F.array_join(cut, "")).otherwise(F.col(f"`{text}`"))
-    ).select(*(F.col(f"`{c}`") for c in documents.columns))
+        return documents.join(leaks.select(id_, hash_), same, "left_anti")
+    pieces = F.regexp_extract_all(col(text), F.lit(f"[{RAW_NON_WORD}]+|[^{RAW_NON_WORD}]+"), F.lit(0))
+    lead = F.when(F.element_at(p, 1).rlike(f"^[^{RAW_NON_WORD}]"), F.lit(0)).otherwise(F.lit(1))
+    number = lambda i: F.floor((i - F.col(lead_)) / 2) + 1  # noqa: E731 - a separator counts with the word before it
+    cut = F.filter(p, lambda _, i: ~F.exists(spans, lambda s: number(i).between(s["first"], s["last"])))
+    joined = documents.join(leaks, same, "left").select("*", once(F.when(F.size(spans) > 0, pieces)).alias(p)).withColumn(lead_, lead)
+    left = F.when(F.col(p).isNotNull(), F.array_join(cut, "")).otherwise(col(text))
+    return joined.select(*((left if c == text else col(c)).alias(c) for c in documents.columns))

@@ -41,20 +41,42 @@ def counts(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), DIMS), np.float32)
     at = 0
     while at < len(texts):
+        if len(texts[at]) > _PIECE:
+            out[at] = _long(np.frombuffer(_grams(texts[at]), np.uint8))
+            at += 1
+            continue
         some, size = [], 0
-        while at + len(some) < len(texts) and (not some or size < _PIECE):
+        while at + len(some) < len(texts) and (not some or size < _PIECE) and len(texts[at + len(some)]) <= _PIECE:
             some.append(_grams(texts[at + len(some)]))
             size += len(some[-1])
         b = np.frombuffer(b"".join(some), np.uint8).astype(np.uint32)
         doc = np.repeat(np.arange(len(some)), [len(x) for x in some])
-        two = (b[:-1] * np.uint32(0x9E3779B1) + b[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(21)
-        three = (b[:-2] * np.uint32(0xC2B2AE35) + b[1:-1] * np.uint32(0x27D4EB2F) + b[2:] * np.uint32(0x165667B1)) >> np.uint32(21)
+        two, three = _two(b), _three(b)
         keys = [doc[k:][doc[k:] == doc[: len(doc) - k]] * DIMS + h[doc[k:] == doc[: len(doc) - k]] for k, h in ((1, two), (2, three))]
         out[at : at + len(some)] = np.bincount(np.concatenate(keys), minlength=len(some) * DIMS).reshape(-1, DIMS)
         at += len(some)
     return out
 
 
+def _two(b: np.ndarray) -> np.ndarray:
+    return (b[:-1] * np.uint32(0x9E3779B1) + b[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(21)
+
+
+def _three(b: np.ndarray) -> np.ndarray:
+    return (b[:-2] * np.uint32(0xC2B2AE35) + b[1:-1] * np.uint32(0x27D4EB2F) + b[2:] * np.uint32(0x165667B1)) >> np.uint32(21)
+
+
+def _long(b: np.ndarray) -> np.ndarray:
+    """counts() of one text, in pieces that share the bytes a gram needs."""
+    out = np.zeros(DIMS, np.int64)
+    for i in range(0, len(b), _PIECE):
+        for width, hashed in ((2, _two), (3, _three)):
+            piece = b[i : i + _PIECE + width - 1].astype(np.uint32)
+            if len(piece) >= width:
+                out += np.bincount(hashed(piece), minlength=DIMS)
+    return out
+
+
 def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     x = np.log1p(counts(texts)) * idf
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
@@ -104,7 +126,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x = counts(b.column(1).to_pylist()).astype(np.uint16)
+        x = counts(b.column(1).to_pylist()).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
 
@@ -121,7 +143,7 @@ def fit_language(rows: DataFrame, *, per_language: int = PER_LANGUAGE, clusters:
     picked = map_arrow(rows.join(F.broadcast(tops.withColumnRenamed("lang", "l")), (F.col("lang") == F.col("l")) & (F.col("h") <= F.col("top"))).select("lang", "text"), _sampled, "lang string, x binary")
     by: dict[str, list] = {}
     for r in picked.toLocalIterator():
-        by.setdefault(r["lang"], []).append(np.frombuffer(r["x"], np.uint16))
+        by.setdefault(r["lang"], []).append(np.frombuffer(r["x"], np.uint32))
     for lang in sorted(by):
         x = np.log1p(np.stack(sorted(by[lang], key=bytes)).astype(np.float32)) * idf
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)

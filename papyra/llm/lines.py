@@ -11,7 +11,8 @@ compressed keep bitmap for every document.
 
 Cases.  Null or empty text: one empty line, kept.  Rows with a null doc_id
 neither count nor lose lines.  Rows that repeat a doc_id are the same document:
-they count once and lose the same keys.  Keys are compared by 128-bit hash.  Text that is not
+they count once and lose the same keys.  Ids that are no whole numbers are ordered as Spark orders them,
+and their keys are all decided by partial aggregates.  Keys are compared by 128-bit hash.  Text that is not
 split, however long, is handled row by row.  Columns other than those named are
 ignored.  Empty table: no rows.
 """
@@ -25,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from papyra.llm.common import map_arrow, partitions, text_bytes, written
+from papyra.llm.common import col, map_arrow, partitions, text_bytes, written
 
 STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -41,7 +43,7 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
     return xxhash.xxh3_128_digest(k)
 
 
-def _key_rows(min_chars: int):
+def _key_rows(min_chars: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, keys = [], []
@@ -52,7 +54,7 @@ def _key_rows(min_chars: int):
                 keys += own
                 ids += [d] * len(own)
             h = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64())], names=["h1", "h2", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, kind)], names=["h1", "h2", "d"])
 
     return run
 
@@ -93,9 +95,15 @@ def _losers(min_docs: int):
 
 def losing_keys(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """doc_id and the sorted key hashes (16 bytes each, joined) that it loses; documents that lose none are absent."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = documents.sparkSession
-    docs = documents.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t"))
-    rows = written(map_arrow(docs, _key_rows(min_chars), "h1 bigint, h2 bigint, d bigint"), "line-keys")
+    docs = documents.select(_id(documents, doc_id).alias("d"), col(text).alias("t"))
+    kind = docs.schema["d"].dataType
+    schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("d", kind)])
+    rows = written(map_arrow(docs, _key_rows(min_chars, to_arrow_type(kind)), schema), "line-keys")
+    if not isinstance(kind, T.LongType):  # ids that are no numbers: the stream compares whole numbers only
+        return _gathered(rows.join(_verdict(rows, min_docs), ["h1", "h2"]).where("d < keeper").select("h1", "h2", "d"))
     n = partitions(rows)
     total = rows.count()
     counts = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
@@ -105,20 +113,31 @@ def losing_keys(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     streamed = cold.repartitionByRange(n, "h1", "h2").sortWithinPartitions("h1", "h2", F.col("d").desc())
     lost = map_arrow(streamed, _losers(min_docs), "h1 bigint, h2 bigint, d bigint")
     busy = rows.join(F.broadcast(hot), ["h1", "h2"], "left_semi")
-    verdict = (
-        busy.groupBy("h1", "h2", "d").agg(F.lit(1).alias("one"))
-        .groupBy("h1", "h2").agg(F.count("d").alias("docs"), F.max("d").alias("keeper"))
-        .where(F.col("docs") >= min_docs)
-    )
-    lost = lost.unionByName(busy.join(F.broadcast(verdict), ["h1", "h2"]).where("d < keeper").select("h1", "h2", "d"))
+    lost = lost.unionByName(busy.join(F.broadcast(_verdict(busy, min_docs)), ["h1", "h2"]).where("d < keeper").select("h1", "h2", "d"))
+    return _gathered(lost)
+
+
+def _id(documents: DataFrame, doc_id: str) -> Column:
+    """Ids as they are; whole numbers of any size as bigint."""
+    own = col(doc_id)
+    return own.cast("bigint") if isinstance(documents.select(own).schema[0].dataType, (T.ByteType, T.ShortType, T.IntegerType)) else own
+
+
+def _verdict(rows: DataFrame, min_docs: int) -> DataFrame:
+    """Keys in enough documents, with the largest."""
+    by = rows.groupBy("h1", "h2", "d").agg(F.lit(1).alias("one")).groupBy("h1", "h2")
+    return by.agg(F.count("d").alias("docs"), F.max("d").alias("keeper")).where(F.col("docs") >= min_docs)
+
+
+def _gathered(lost: DataFrame) -> DataFrame:
     return lost.groupBy("d").agg(F.collect_set(F.struct("h1", "h2")).alias("keys")).select(F.col("d").alias("doc_id"), "keys")
 
 
-def _apply(min_chars: int, whole: bool):
+def _apply(min_chars: int, whole: bool, plain: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lost = b.column(b.num_columns - 1)
-            out: dict[str, list] = {"n_lines": [], "n_dropped": [], "keep": [], "sha": [], "text": []}
+            out: dict[str, list] = {"n_lines": [], "n_dropped": [], "keep": [], "sha": [], "text": [], "bits": []}
             flat = lost.values if hasattr(lost, "values") else lost
             h = np.stack([flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)], 1).astype("<i8") if len(flat) else np.empty((0, 2), "<i8")
             ends = lost.offsets.to_numpy()
@@ -129,10 +148,12 @@ def _apply(min_chars: int, whole: bool):
                     keep = [line_key(x, min_chars) not in dropped for x in lines]
                     t = b"\n".join(x for x, k in zip(lines, keep) if k)
                     out["n_dropped"].append(len(lines) - sum(keep))
-                    bits = np.packbits(keep).tobytes()
                 else:
+                    keep = np.ones(len(lines), bool)
                     out["n_dropped"].append(0)
-                    bits = np.packbits(np.ones(len(lines), bool)).tobytes()
+                bits = np.packbits(keep).tobytes()
+                if plain:
+                    out["bits"].append((np.asarray(keep, np.uint8) + 48).tobytes().decode())
                 out["n_lines"].append(len(lines))
                 out["keep"].append(zlib.compress(bits, 1))
                 out["sha"].append(hashlib.sha256(t).hexdigest())
@@ -141,29 +162,29 @@ def _apply(min_chars: int, whole: bool):
             cols = [b.column(0), pa.array(out["n_lines"], pa.int64()), pa.array(out["n_dropped"], pa.int64()), pa.array(out["keep"], pa.binary()), pa.array(out["sha"], pa.string())]
             names = ["doc_id", "n_lines", "n_dropped", "keep_bitmap", "kept_sha256"]
             if whole:
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns - 1)), cols[2], pa.array(out["text"], pa.binary()).cast(pa.string())], names=[*(b.schema.names[2:-1]), "__n", "__kept"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns - 1)), cols[2], pa.array(out["text"], pa.binary()).cast(pa.string())], names=["row", "n", "kept"])
             else:
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(out["bits"], pa.string())] if plain else cols, names=[*names, "keep_bits"] if plain else names)
 
     return run
 
 
-def line_bitmaps(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """doc_id, n_lines, n_dropped, keep_bitmap (zlib over one bit a line, first line first, 1: stays), kept_sha256."""
+def line_bitmaps(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, plain: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_dropped, keep_bitmap (zlib over one bit a line, first line first, 1: stays), kept_sha256.  plain: keep_bits too, the bits as text."""
     lost = losing_keys(documents, doc_id=doc_id, text=text, min_chars=min_chars, min_docs=min_docs)
-    docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = documents.select(_id(documents, doc_id).alias("doc_id"), col(text).alias("text"))
     joined = docs.join(lost.hint("shuffle_hash"), "doc_id", "left")
-    return map_arrow(joined, _apply(min_chars, False), "doc_id bigint, n_lines bigint, n_dropped bigint, keep_bitmap binary, kept_sha256 string")
+    out = T.StructType.fromDDL("n_lines bigint, n_dropped bigint, keep_bitmap binary, kept_sha256 string" + ", keep_bits string" * plain)
+    return map_arrow(joined, _apply(min_chars, False, plain), T.StructType([docs.schema["doc_id"], *out]))
 
 
 def drop_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """documents with those lines dropped; a text that loses nothing stays as it was, null included."""
     lost = losing_keys(documents, doc_id=doc_id, text=text, min_chars=min_chars, min_docs=min_docs)
-    own = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("__row")
-    docs = documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("__id"), F.col(f"`{text}`").alias("__text"), own)
-    lost = lost.select(F.col("doc_id").alias("__lost"), F.col("keys").alias("__keys"))
-    joined = docs.join(lost.hint("shuffle_hash"), F.col("__id") == F.col("__lost"), "left").select("__id", "__text", "__row", "__keys")
-    done = map_arrow(joined, _apply(min_chars, True), f"__row {documents.select(own).schema[0].dataType.simpleString()}, __n bigint, __kept string")
-    return done.select(
-        *(F.when(F.col("__n") > 0, F.col("__kept")).otherwise(F.col("__row")[c]).alias(c) if c == text else F.col("__row")[c].alias(c) for c in documents.columns)
-    )
+    docs = documents.select(_id(documents, doc_id).alias("id"), col(text).alias("text"), F.struct(*map(col, documents.columns)).alias("row"))
+    lost = lost.select(F.col("doc_id").alias("lost"), "keys")
+    joined = docs.join(lost.hint("shuffle_hash"), F.col("id") == F.col("lost"), "left").select("id", "text", "row", "keys")
+    out = T.StructType([docs.schema["row"], T.StructField("n", T.LongType()), T.StructField("kept", T.StringType())])
+    done = map_arrow(joined, _apply(min_chars, True), out)
+    kept = F.when(F.col("n") > 0, F.col("kept")).otherwise(F.col("row")[text])
+    return done.select(*((kept if c == text else F.col("row")[c]).alias(c) for c in documents.columns))

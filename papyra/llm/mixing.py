@@ -44,7 +44,8 @@ def sized(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
 def water_fill(totals: DataFrame, *, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Targets of sources.  totals: source, total (one row per source).  Adds weight and target.
 
-    The windows without a key run over one row per source, never over documents.
+    The windows without a key run over one row per source, never over documents: one task sorts them,
+    so sources are to be named collections (thousands, not one for each page).
     """
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1)
@@ -69,7 +70,7 @@ def mix(documents: DataFrame, *, cap: int = 3, weights: tuple[int, ...] = (1, 2,
     targets = water_fill(docs.groupBy("source").agg(F.sum("size").alias("total")), cap=cap, weights=weights)
     goal = F.floor(F.col("target") + 0.5).cast("bigint")
     targets = targets.withColumn("whole", F.when(F.col("total") > 0, F.expr("CAST(floor(target + 0.5) AS BIGINT) DIV total")).otherwise(F.lit(0).cast("bigint")))
-    targets = targets.withColumn("rest", goal - F.col("whole") * F.col("total"))
+    targets = written(targets.withColumn("rest", goal - F.col("whole") * F.col("total")), "targets")  # a row for each source; read twice below
     # The bucket in which the rest runs out, and what the buckets before it hold.
     run = W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, W.currentRow)
     upto = buckets.withColumn("upto", F.sum("in_bucket").over(run)).select(F.col("source").alias("bs"), "b", "in_bucket", "upto")

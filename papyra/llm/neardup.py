@@ -21,7 +21,6 @@ in one class.  Very long texts are sampled in pieces, whole.  Columns other than
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from papyra.llm.common import WORD_TABLE, map_arrow, partitions, text_bytes, written
+from papyra.llm.blocks import Numbers, numbered, unzipped, unzipped_words, zipped, zipped_words
+from papyra.llm.common import WORD_TABLE, col, fresh, map_arrow, partitions, text_bytes, written
 from papyra.llm.graph import components
 
 SHINGLE = 5
@@ -43,22 +44,7 @@ STEPS = (0, 1, 4, BANDS)
 #: Members of a bucket in one task, about.
 GROUP = 512
 BLOCK_BYTES = 4 << 20
-_CELLS = 1 << 20  # of weights(), for small corpora
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_WORDS_KEPT = 300_000
-
-
-class _Words(dict):
-    """Hashes of words seen lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _WORDS_KEPT:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,17 +53,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(text: bytes, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted 64-bit shingle hashes of a text and their counts."""
-    tokens = text.translate(WORD_TABLE).split()
-    if not tokens:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    w = np.array([_words[t] for t in tokens], np.uint64)
-    k = min(k, len(w))
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes and their counts."""
+    h = np.sort(h)
+    heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    return h[heads], np.diff(np.append(heads, len(h)))
+
+
+def _hashed(w: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of all runs of k words, from the words' hashes."""
     h = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
         h = h * _PRIME + w[i : len(w) - k + 1 + i]
-    return np.unique(_mix(h), return_counts=True)
+    return _mix(h)
+
+
+def sets_of(types: list[bytes], at: np.ndarray, ends: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted 64-bit shingle hashes of each text and their counts.  types: words; at: the words of all texts, by number; ends: of each text."""
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, types), np.uint64, len(types))[at]
+    runs = _hashed(w, SHINGLE) if len(w) >= SHINGLE else np.empty(0, np.uint64)
+    out = []
+    for a, b in zip([0, *ends[:-1]], ends):
+        k = min(SHINGLE, b - a)
+        out.append(_distinct(runs[a : b - SHINGLE + 1] if k == SHINGLE else _hashed(w[a:b], k) if k else np.empty(0, np.uint64)))
+    return out
+
+
+def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit shingle hashes of a text and their counts."""
+    words = text.translate(WORD_TABLE).split()
+    return sets_of(words, np.arange(len(words)), [len(words)])[0]
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,37 +125,38 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return _mix(key).view(np.int64)
 
 
-def _weights(h: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Weights from inverse frequencies held by hash modulo _CELLS; the operator's own are by hash."""
-    return n * idf[h & (_CELLS - 1)]
-
-
 def _packed(kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ts, data, ends, size, k = [], [], [], [], 0, 0
+        def fresh_block() -> tuple:
+            return [], [], [], Numbers(), [], []
+
+        (ids, ts, us, types, at, ends), size, k = fresh_block(), 0, 0
 
         def block() -> pa.RecordBatch:
+            words = np.concatenate(at)
             return pa.RecordBatch.from_arrays(
-                [pa.array([(TaskContext.get().partitionId() << 32) + k]), pa.array([ids], pa.list_(kind)), pa.array([ts], pa.list_(pa.int64())),
-                 pa.array([b"".join(data)], pa.binary()), pa.array([ends], pa.list_(pa.int32()))],
-                names=["block", "ids", "ts", "data", "ends"],
+                [pa.array([(TaskContext.get().partitionId() << 32) + k]), pa.array([ids], pa.list_(kind)), pa.array([ts], pa.list_(pa.int64())), pa.array([us], pa.list_(pa.int64())),
+                 pa.array([zipped_words(types)], pa.binary()), pa.array([zipped(words)], pa.binary()), pa.array([ends], pa.list_(pa.int64()))],
+                names=["block", "ids", "ts", "us", "types", "at", "ends"],
             )
 
         for b in batches:
-            for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2))):
-                if data and size + len(t) > BLOCK_BYTES:
+            for i, h, u, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), text_bytes(b.column(3))):
+                if ids and size + len(t) > BLOCK_BYTES:
                     yield block()
-                    ids, ts, data, ends, size, k = [], [], [], [], 0, k + 1
+                    (ids, ts, us, types, at, ends), size, k = fresh_block(), 0, k + 1
+                words = t.translate(WORD_TABLE).split()
+                at.append(np.fromiter(map(types.__getitem__, words), np.uint32, len(words)))
+                ids.append(i), ts.append(h), us.append(u), ends.append((ends[-1] if ends else 0) + len(words))
                 size += len(t)
-                ids.append(i), ts.append(h), data.append(t), ends.append(size)
-        if data:
+        if ids:
             yield block()
 
     return run
 
 
-def _sets(data: bytes, ends: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [shingles(data[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+def _sets(types: bytes, at: bytes, ends: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return sets_of(unzipped_words(types), unzipped(at, np.uint32), ends)
 
 
 def _asked(bits: int):
@@ -158,12 +164,12 @@ def _asked(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, data, ends in zip(*(b.column(i).to_pylist() for i in range(3))):
-                h, n = np.unique(np.concatenate([h for h, _ in _sets(data, ends)]), return_counts=True)
+            for block, types, at, ends in zip(*(b.column(i).to_pylist() for i in range(4))):
+                h, n = _distinct(np.concatenate([h for h, _ in _sets(types, at, ends)]))
                 cut = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                 for shard in np.flatnonzero(np.diff(cut)):
                     own = slice(cut[shard], cut[shard + 1])
-                    row = (h[own].tobytes(), zlib.compress(n[own].astype(np.int32).tobytes(), 1))
+                    row = (zipped(np.diff(h[own], prepend=np.uint64(int(shard) << (64 - bits)))), zipped(n[own].astype(np.uint32)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([shard], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=["shard", "block", "h", "n"]
                     )
@@ -171,31 +177,35 @@ def _asked(bits: int):
     return run
 
 
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answered(bits: int):
     """Rows sorted by shard: each block's frequencies become the corpus's."""
 
     def answers(shard: int, rows: list) -> Iterator[pa.RecordBatch]:
-        keys, at = np.unique(np.concatenate([np.frombuffer(h, np.uint64) for _, h, _ in rows]), return_inverse=True)
-        own = np.concatenate([np.frombuffer(zlib.decompress(n), np.int32) for _, _, n in rows])
-        total = np.bincount(at, own, len(keys)).astype(np.int64)[at]
+        base = np.uint64(shard << (64 - bits))
+        every = [np.cumsum(unzipped(h, np.uint64), dtype=np.uint64) + base for _, h, _ in rows]
+        size = [len(h) for h in every]
+        keys, at = numbered(np.concatenate(every))
+        del every
+        total = np.bincount(at, np.concatenate([unzipped(n, np.uint32) for _, _, n in rows]), len(keys)).astype(np.int64)
         done = 0
-        for block, h, _ in rows:
-            part = total[done : done + len(h) // 8]
-            done += len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "shard", "c"]
-            )
+        for (block, *_), n in zip(rows, size):
+            c = zipped(total[at[done : done + n]])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([c], pa.binary())], names=["block", "shard", "c"])
+            done += n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for b in batches:
+            for shard, *row in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if shard != now and rows:
+                    yield from answers(now, rows)
+                    rows = []
+                now = shard
+                rows.append(row)
+        if rows:
+            yield from answers(now, rows)
 
-    now, rows = None, []
-    for b in batches:
-        for shard, *row in zip(*(b.column(i).to_pylist() for i in range(4))):
-            if shard != now and rows:
-                yield from answers(now, rows)
-                rows = []
-            now = shard
-            rows.append(row)
-    if rows:
-        yield from answers(now, rows)
+    return run
 
 
 def _counted(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -203,41 +213,46 @@ def _counted(docs: DataFrame) -> tuple[DataFrame, int]:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema["doc_id"].dataType
-    blocks = written(map_arrow(docs, _packed(to_arrow_type(kind)), f"block bigint, ids array<{kind.simpleString()}>, ts array<bigint>, data binary, ends array<int>"), "blocks")
+    blocks = written(map_arrow(docs, _packed(to_arrow_type(kind)), f"block bigint, ids array<{kind.simpleString()}>, ts array<bigint>, us array<bigint>, types binary, at binary, ends array<bigint>"), "blocks")
     many, rows = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ends")), F.lit(0))).first()
     bits = min(16, max(3, (many // 4).bit_length()))
-    asked = map_arrow(blocks.select("block", "data", "ends"), _asked(bits), "shard int, block bigint, h binary, n binary")
+    asked = map_arrow(blocks.select("block", "types", "at", "ends"), _asked(bits), "shard int, block bigint, h binary, n binary")
     asked = asked.repartition(max(1, min(1 << bits, 4 * partitions(blocks))), "shard").sortWithinPartitions("shard")
-    answers = map_arrow(asked, _answered, "block bigint, shard int, c binary")
+    answers = map_arrow(asked, _answered(bits), "block bigint, shard int, c binary")
     lists = written(answers.groupBy("block").agg(F.collect_list(F.struct("shard", "c")).alias("known")), "frequencies")  # a block's shingles: bounded by its size
     return blocks.join(lists.hint("shuffle_hash"), "block", "left"), rows
 
 
-def _weighted(data: bytes, ends: list[int], known: list[dict] | None, docs: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _weighted(types: bytes, at: bytes, ends: list[int], known: list[dict] | None, docs: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Hashes, counts and weights of each text of a block."""
-    sets = _sets(data, ends)
-    every = np.unique(np.concatenate([h for h, _ in sets]))
-    parts = [np.frombuffer(zlib.decompress(x["c"]), np.int64) for x in sorted(known or [], key=lambda x: x["shard"])]
+    sets = _sets(types, at, ends)
+    every, place = numbered(np.concatenate([h for h, _ in sets]))
+    parts = [unzipped(x["c"], np.int64) for x in sorted(known or [], key=lambda x: x["shard"])]
     idf = np.log1p(docs / np.concatenate([np.empty(0, np.int64), *parts])).astype(np.float32) + np.float32(0.1)
-    return [(h, n, (n * idf[np.searchsorted(every, h)]).astype(np.float32)) for h, n in sets]
+    weight = np.take(idf, place) if len(every) else np.empty(0, np.float32)
+    out, done = [], 0
+    for h, n in sets:
+        out.append((h, n, n.astype(np.float32) * weight[done : done + len(h)]))
+        done += len(h)
+    return out
 
 
 def _signatures(kind: pa.DataType, docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                block, ids, ts, data, ends, known = (b.column(j)[i].as_py() for j in range(6))
+                block, ids, ts, us, types, at, ends, known = (b.column(j)[i].as_py() for j in range(8))
                 fp, bands = [], []
-                for h, n, w in _weighted(data, ends, known, docs):
+                for h, n, w in _weighted(types, at, ends, known, docs):
                     if not len(h):
                         fp.append(None), bands.append(None)
                         continue
                     fp.append(xxhash.xxh3_64_intdigest(h.tobytes() + n.tobytes()) - (1 << 63))
                     bands.append(band_keys(samples(h, np.log(w).astype(np.float32))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, kind), pa.array(ts, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
+                    [pa.array(ids, kind), pa.array(ts, pa.int64()), pa.array(us, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
                      pa.array([block] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32())],
-                    names=["doc_id", "t", "fp", "bands", "block", "at"],
+                    names=["doc_id", "t", "u", "fp", "bands", "block", "at"],
                 )
 
     return run
@@ -247,8 +262,8 @@ def _features(docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                data, ends, known, wanted = (b.column(j)[i].as_py() for j in range(4))
-                sets = _weighted(data, ends, known, docs)
+                types, at, ends, known, wanted = (b.column(j)[i].as_py() for j in range(5))
+                sets = _weighted(types, at, ends, known, docs)
                 got = [(x["fp"], sets[x["at"]][0].tobytes(), sets[x["at"]][2].tobytes()) for x in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got), (pa.int64(), pa.binary(), pa.binary()))], names=["fp", "h", "w"])
 
@@ -342,15 +357,16 @@ def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return known.join(sizes.where("parts > 1").select("bucket", "giant"), "bucket")
 
 
-def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, t (hash of the text), fp (node; null without words), root (its component; null without words): one row per row of documents."""
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
+def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, also: str | None = None) -> DataFrame:
+    """doc_id, t (hash of the text), u (the bigint column `also`, or 0), fp (node; null without words), root (its component; null without words): one row per row of documents."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    u = F.lit(0).cast("bigint") if also is None else col(also)
+    docs = documents.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("t"), u.alias("u"), col(text).alias("text"))
     blocks, many = _counted(docs)
     kind = docs.schema["doc_id"].dataType
-    rows = blocks.select("block", "ids", "ts", "data", "ends", "known")
-    sigs = written(map_arrow(rows, _signatures(to_arrow_type(kind), many), f"doc_id {kind.simpleString()}, t bigint, fp bigint, bands array<bigint>, block bigint, at int"), "signatures")
+    rows = blocks.select("block", "ids", "ts", "us", "types", "at", "ends", "known")
+    sigs = written(map_arrow(rows, _signatures(to_arrow_type(kind), many), f"doc_id {kind.simpleString()}, t bigint, u bigint, fp bigint, bands array<bigint>, block bigint, at int"), "signatures")
     nodes = sigs.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct("block", "at")).alias("place"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
     buckets = nodes.select("fp", "place", F.posexplode("bands").alias("band", "bucket"))
@@ -358,7 +374,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     members = written(buckets.join(shared, "bucket"), "members")
     wanted = members.groupBy("fp").agg(F.first("place").alias("p")).select("fp", F.col("p.block").alias("block"), F.col("p.at").alias("at"))
     wanted = wanted.groupBy("block").agg(F.collect_list(F.struct("fp", "at")).alias("wanted"))  # some of a block's texts
-    rows = blocks.join(wanted.hint("shuffle_hash"), "block").select("data", "ends", "known", "wanted")
+    rows = blocks.join(wanted.hint("shuffle_hash"), "block").select("types", "at", "ends", "known", "wanted")
     features = written(map_arrow(rows, _features(many), "fp bigint, h binary, w binary"), "features")
     members = members.select("bucket", "band", "size", "fp")
 
@@ -386,8 +402,8 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         rows = leads.select("bucket", chunks, "fp", "root", F.lit(True).alias("lead")).unionByName(known.select("bucket", chunk, "fp", "root", F.lit(False).alias("lead")))
         add(_links(rows, features, similarity))
         left = left.join(leads.select("bucket", "fp"), ["bucket", "fp"], "left_anti")
-    out = sigs.select("doc_id", "t", "fp").join(roots, F.col("fp") == F.col("node"), "left")
-    return out.select("doc_id", "t", "fp", F.coalesce("root", "fp").alias("root"))
+    out = sigs.select("doc_id", "t", "u", "fp").join(roots, F.col("fp") == F.col("node"), "left")
+    return out.select("doc_id", "t", "u", "fp", F.coalesce("root", "fp").alias("root"))
 
 
 def duplicate_classes(documents: DataFrame, **names) -> DataFrame:
@@ -399,15 +415,29 @@ def duplicate_classes(documents: DataFrame, **names) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """documents with one row of each class: that of the smallest id, nulls last; all columns as they are."""
-    rows = written(near_duplicates(documents, doc_id=doc_id, text=text, similarity=similarity), "classes")
-    some = rows.where("root IS NOT NULL")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
-    kept = some.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.t").alias("__t"))
-    kept = kept.unionByName(rows.where("root IS NULL").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")))
-    twice = not some.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__t"))
-    out = documents.join(kept.distinct().hint("shuffle_hash"), same, "left_semi")
-    if twice:  # rows that repeat id and text
-        out = out.dropDuplicates([doc_id, text])
-    return out
+    """documents with one row of each class, all columns as they are: that of the smallest id, nulls last.
+
+    Of rows with that id, the one with the smallest hash of its text stays, then that with the smallest hash of its other columns,
+    so reruns agree.  Rows without words all stay, whatever the others are.
+    """
+    id_, t_, u_, many_ = fresh(documents, "id_", "text_", "other_", "many_")
+    other = [c for c in documents.columns if c not in (doc_id, text) and not _unhashable(documents.select(col(c)).schema[0].dataType)]
+    u = F.xxhash64(F.lit(0), *map(col, other))
+    rows = written(near_duplicates(documents.withColumn(u_, u), doc_id=doc_id, text=text, also=u_, similarity=similarity), "classes")
+    keys = rows.groupBy("root", "doc_id", "t", "u").agg((F.count(F.lit(1)) > 1).alias("many"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "t", "u", "many")
+    kept = keys.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("k")).select("k.id", "k.t", "k.u", "k.many")
+    kept = kept.unionByName(keys.where("root IS NULL").select(F.col("doc_id").alias("id"), "t", "u", F.lit(False).alias("many")))
+    kept = kept.select(F.col("id").alias(id_), F.col("t").alias(t_), F.col("u").alias(u_), F.col("many").alias(many_))
+    same = col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(col(text)) == F.col(t_)) & (u == F.col(u_))
+    found = documents.join(kept.hint("shuffle_hash"), same)
+    once, twice = found.where(~F.col(many_)), found.where(F.col(many_)).dropDuplicates([id_, t_, u_])  # rows alike in all columns
+    return once.unionByName(twice).select(*map(col, documents.columns))
+
+
+def _unhashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _unhashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_unhashable(f.dataType) for f in kind)
+    return isinstance(kind, (T.MapType, T.VariantType))

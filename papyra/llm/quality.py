@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import fold, map_arrow, text_bytes
+from papyra.llm.common import col, fold, map_arrow, picked, text_bytes
 
 SAMPLE = 20_000
 _CLASS = np.full(256, 7)
@@ -136,7 +136,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, *, learn: Column | None
     """The model of at most ``sample`` labelled rows.  learn: rows of documents whose labels may be used."""
     learn = ~fold(F.col(doc_id), 4, 2) if learn is None else learn
     own = labels.select(F.col("doc_id").alias("lid"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND lid IS NOT NULL")
-    own = own.orderBy(F.xxhash64("lid"), "lid", "y").limit(sample)
+    own = picked(own, F.xxhash64("lid", "y"), sample)
     # At most `sample` pairs of numbers are broadcast; only the texts they name are looked at.
     docs = documents.where(learn).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
     rows = docs.join(F.broadcast(own), F.col("d") == F.col("lid")).select("d", "y", "t")
@@ -166,16 +166,16 @@ def quality_scores(documents: DataFrame, labels: DataFrame, *, learn: Column | N
 
 
 def keep_quality(documents: DataFrame, labels: DataFrame, *, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """The rows of documents that score at least the threshold, all columns as they are."""
+    """The rows of documents that score at least the threshold, all columns as they are; all of them if there is nothing to learn a difference from."""
     model = fit_quality(documents, labels, doc_id=doc_id, text=text, label=label, sample=sample)
-    own = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("__row")
-    rows = documents.select(own, F.col(f"`{text}`").alias("__text"))
-    row = rows.schema["__row"].dataType.simpleString()
+    if model.prior is not None:
+        return documents
+    rows = documents.select(F.struct(*map(col, documents.columns)).alias("row"), col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([statistics(t) for t in text_bytes(b.column(1))]).reshape(b.num_rows, -1)
             keep = model.score(x) >= threshold if b.num_rows else np.empty(0, bool)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep))], names=["__row"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep))], names=["row"])
 
-    return map_arrow(rows, run, f"__row {row}").select("__row.*")
+    return map_arrow(rows, run, rows.select("row").schema).select("row.*")

@@ -52,7 +52,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_bitmaps(load(spark, sf_dir, "documents")).drop("keep_bitmap")
+    return line_bitmaps(load(spark, sf_dir, "documents"), plain=True).drop("keep_bitmap")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,7 @@ WITH l AS (
 b AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
 m AS (SELECT l.*, b.keeper IS NOT NULL AND coalesce(doc_id < b.keeper, false) AS lost FROM l LEFT JOIN b USING (k))
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (lost))::BIGINT AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256,
+       string_agg(CASE WHEN lost THEN '0' ELSE '1' END, '' ORDER BY i) AS keep_bits
 FROM m GROUP BY doc_id, r""",
 }

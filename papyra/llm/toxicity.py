@@ -5,7 +5,7 @@ associated with toxic labels beyond chance are kept.  Severity grades 0 to 3 ord
 labelled rows: 0 for label 0; toxic rows get 1, 2 or 3 by how many kept
 features' words they hold (thirds of the toxic rows).  One weight vector is shared by the
 ordered thresholds: P(grade > k) = logistic(w x - t_k), t_0 < t_1 < t_2.  The model is fitted
-on at most ``sample`` labelled rows (smallest id hash) and scores every whole text.
+on at most ``sample`` labelled rows (smallest hash; crc32(doc_id as text) mod 4 is not 2) and scores every whole text.
 
 Cases.  Null and empty texts hold no feature.  Without labelled toxic rows all severities are 0.
 Null labels and ids are not learned from.  Repeated rows are scored each.
@@ -21,13 +21,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import WORD_TABLE, map_arrow, text_bytes
+from papyra.llm.common import WORD_TABLE, fold, map_arrow, picked, text_bytes
 
 BITS = 20
-SAMPLE = 10_000
+SAMPLE = 20_000
 GRADES = 4
 _MASK = (1 << BITS) - 1
 
@@ -126,21 +126,30 @@ def _score(model: Ordinal):
                 x[i] = sum(np.log1p(c) * weight[k] for k, c in sorted(n.items()))
             p = model.grades(x)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(p @ np.arange(GRADES)), pa.array(p.argmax(1).astype(np.int32)), pa.array(1 - p[:, 0]), pa.array(p[:, 0] < 0.5)],
-                names=["doc_id", "severity", "grade", "p_toxic", "toxic"],
+                [b.column(0), b.column(2), pa.array(p @ np.arange(GRADES)), pa.array(p.argmax(1).astype(np.int32)), pa.array(1 - p[:, 0]), pa.array(p[:, 0] < 0.5)],
+                names=["doc_id", "held_out", "severity", "grade", "p_toxic", "toxic"],
             )
 
     return run
 
 
-def grade_toxicity(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
-    """doc_id, severity (expected grade, 0 to 3), grade (likeliest), p_toxic, toxic: one row per row of documents."""
-    docs = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
+def fit_toxicity(documents: DataFrame, labels: DataFrame, *, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Ordinal:
+    """The model of at most ``sample`` labelled rows.  learn: rows of documents whose labels may be used."""
+    learn = ~fold(F.col(doc_id), 4, 2) if learn is None else learn
+    docs = documents.where(learn).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
     kind = docs.schema["d"].dataType.simpleString()
     own = labels.select(F.col("doc_id").alias("lid"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND lid IS NOT NULL")
-    own = own.orderBy(F.xxhash64("lid"), "lid", "y").limit(sample)
+    own = picked(own, F.xxhash64("lid", "y"), sample)
     # At most `sample` pairs of numbers are broadcast.
-    picked = docs.join(F.broadcast(own), F.col("d") == F.col("lid")).select("d", "y", "t")
-    got = sorted((r["d"], r["y"], bytes(r["f"])) for r in map_arrow(picked, _sampled, f"d {kind}, y int, f binary").toLocalIterator())
-    model = fit_ordinal([np.frombuffer(f, np.uint32).reshape(-1, 2) for _, _, f in got], [y for _, y, _ in got])
-    return map_arrow(docs, _score(model), f"doc_id {kind}, severity double, grade int, p_toxic double, toxic boolean")
+    rows = docs.join(F.broadcast(own), F.col("d") == F.col("lid")).select("d", "y", "t")
+    got = sorted((r["d"], r["y"], bytes(r["f"])) for r in map_arrow(rows, _sampled, f"d {kind}, y int, f binary").toLocalIterator())
+    return fit_ordinal([np.frombuffer(f, np.uint32).reshape(-1, 2) for _, _, f in got], [y for _, y, _ in got])
+
+
+def grade_toxicity(documents: DataFrame, labels: DataFrame, *, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, severity (expected grade, 0 to 3), grade (likeliest), p_toxic, toxic: one row per row of documents.  learn: rows whose labels may be used."""
+    learn = ~fold(F.col(doc_id), 4, 2) if learn is None else learn
+    model = fit_toxicity(documents, labels, learn=learn, doc_id=doc_id, text=text, label=label, sample=sample)
+    docs = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), (~learn).alias("held"))
+    kind = docs.schema["d"].dataType.simpleString()
+    return map_arrow(docs, _score(model), f"doc_id {kind}, held_out boolean, severity double, grade int, p_toxic double, toxic boolean")

@@ -3,7 +3,7 @@
 Native: DataFrame functions only.  Urls that a rule decides are the labelled
 ones.  Their lexical features (length, depth, digit ratio, entropy, parameter
 counts, suffix statistics) and label train boosted trees on the driver, on at most ``sample``
-of them (smallest url hash).  The trees become one expression, so judging is a single pass over the
+of them (smallest hash); there a url's suffix statistics leave out its own label.  The trees become one expression, so judging is a single pass over the
 urls without a shuffle.  Suffix statistics are the smoothed log odds of a block
 by hashed host suffix, counted over all labelled urls, in a fixed number of bins.
 
@@ -18,10 +18,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import lower_ascii
+from papyra.llm.common import lower_ascii, picked
 
 #: (rule, verdict) in the order of the contract.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -71,12 +72,9 @@ def lexical(urls: DataFrame) -> DataFrame:
     u = F.coalesce(F.col("_url"), F.lit(""))
     n = F.length(u)
     some = F.greatest(n, F.lit(1)).cast("double")
-    chars = F.array_distinct(F.split(u, ""))
-    bits = F.aggregate(
-        F.filter(chars, lambda c: c != ""),
-        F.lit(0.0),
-        lambda a, c: a + (n - F.length(F.replace(u, c, F.lit("")))).cast("double") * F.log2((n - F.length(F.replace(u, c, F.lit("")))).cast("double")),
-    )
+    chars = F.filter(F.array_distinct(F.split(u, "")), lambda c: c != "")
+    often = F.transform(chars, lambda c: (n - F.length(F.replace(u, c, F.lit("")))).cast("double"))
+    bits = F.aggregate(often, F.lit(0.0), lambda a, k: a + k * F.log2(k))
     query = F.when(F.instr(u, "?") > 0, F.substring_index(u, "?", -1)).otherwise(F.lit(""))
     count = lambda c, x: (F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))).cast("double")
     return urls.select(
@@ -133,49 +131,44 @@ class Boosted:
 
 def boost(rows: list[list[float]], labels: list[int], *, trees: int = 20, depth: int = 3, rate: float = 0.3, bins: int = 16, l2: float = 1.0) -> Boosted:
     """Newton boosting of the log loss with histogram splits; deterministic."""
-    n, pos = len(rows), sum(labels)
+    x, y = np.array(rows, float), np.array(labels, float)
+    n, pos = len(y), y.sum()
     base = math.log((pos + 0.5) / (n - pos + 0.5)) if n else -1.0
     model = Boosted(base)
     if not n or pos in (0, n):
         return model
     cuts, binned = [], []
-    for j in range(len(rows[0])):
-        col = [r[j] for r in rows]
-        values = sorted(set(col)) if len(set(col)) <= bins else sorted({sorted(col)[k * n // bins] for k in range(1, bins)})
+    for col in x.T:
+        values = np.unique(col)
+        if len(values) > bins:
+            values = np.unique(np.sort(col)[[k * n // bins for k in range(1, bins)]])
         cuts.append(values)
-        where = {v: sum(c < v for c in values) for v in set(col)}
-        binned.append([where[v] for v in col])
-    score = [base] * n
+        binned.append(np.searchsorted(values, col))
+    score = np.full(n, base)
 
-    def grow(members: list[int], g: list[float], h: list[float], left: int) -> Tree:
-        gs, hs = sum(g[i] for i in members), sum(h[i] for i in members)
-        best, leaf = (1e-6, -1, 0), Tree(value=-rate * gs / (hs + l2))
+    def grow(members: np.ndarray, g: np.ndarray, h: np.ndarray, left: int) -> Tree:
+        gs, hs = g[members].sum(), h[members].sum()
+        best, leaf = (1e-6, -1, 0), Tree(value=float(-rate * gs / (hs + l2)))
         if not left or len(members) < 2:
             return leaf
         for j, b in enumerate(binned):
-            hg, hh = [0.0] * (len(cuts[j]) + 1), [0.0] * (len(cuts[j]) + 1)
-            for i in members:
-                hg[b[i]] += g[i]
-                hh[b[i]] += h[i]
-            lg = lh = 0.0
-            for k in range(len(cuts[j])):
-                lg, lh = lg + hg[k], lh + hh[k]
-                if lh < 1e-3 or hs - lh < 1e-3:
-                    continue
-                gain = lg * lg / (lh + l2) + (gs - lg) ** 2 / (hs - lh + l2) - gs * gs / (hs + l2)
-                if gain > best[0] + 1e-12:
-                    best = (gain, j, k)
+            lg, lh = (np.cumsum(np.bincount(b[members], v[members], len(cuts[j]) + 1))[:-1] for v in (g, h))
+            gain = lg**2 / (lh + l2) + (gs - lg) ** 2 / (hs - lh + l2) - gs * gs / (hs + l2)
+            gain[(lh < 1e-3) | (hs - lh < 1e-3)] = -1
+            k = int(gain.argmax())
+            if gain[k] > best[0] + 1e-12:
+                best = (gain[k], j, k)
         if best[1] < 0:
             return leaf
         _, j, k = best
-        a, b = [i for i in members if binned[j][i] <= k], [i for i in members if binned[j][i] > k]
-        return Tree(j, float(cuts[j][k]), grow(a, g, h, left - 1), grow(b, g, h, left - 1))
+        low = binned[j][members] <= k
+        return Tree(j, float(cuts[j][k]), grow(members[low], g, h, left - 1), grow(members[~low], g, h, left - 1))
 
     for _ in range(trees):
-        p = [1 / (1 + math.exp(-s)) for s in score]
-        t = grow(list(range(n)), [a - y for a, y in zip(p, labels)], [a * (1 - a) for a in p], depth)
+        q = 1 / (1 + np.exp(-score))
+        t = grow(np.arange(n), q - y, q * (1 - q), depth)
         model.trees.append(t)
-        score = [s + t.of(r) for s, r in zip(score, rows)]
+        score += np.array([t.of(r) for r in rows])
     return model
 
 
@@ -184,20 +177,28 @@ def _with_suffix(feats: DataFrame, stats: list[list[float]]) -> DataFrame:
     return feats.select("*", at[0].alias("suffix1"), at[1].alias("suffix2"))
 
 
+def suffix_odds(blocked: int, urls: int, own: int | None = None) -> float:
+    """Smoothed log odds of a block among the labelled urls of a suffix, for a url to learn from without its own label."""
+    if own is not None:
+        blocked, urls = blocked - own, urls - 1
+    return math.log((blocked + 1) / (urls - blocked + 1))
+
+
 def judge_urls(pages: DataFrame, *, rules: tuple[tuple[str, str], ...] = RULES, page_id: str = "page_id", url: str = "url", sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict, score (probability of a block by the trees): one row per row of pages."""
     urls = split_urls(pages, page_id, url)
     rule, verdict = fitting_rule(rules)
     feats = lexical(urls.select("*", rule.alias("rule"), verdict.alias("by_rule")))
     labelled = feats.where(F.col("by_rule").isNotNull()).withColumn("y", (F.col("by_rule") == "block").cast("int"))
-    stats = [[0.0] * BINS for _ in range(2)]
+    stats, sums = [[0.0] * BINS for _ in range(2)], {}
     both = labelled.select(F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col("bin1").alias("b")), F.struct(F.lit(2).alias("k"), F.col("bin2").alias("b")))).alias("s"), "y")
     for r in both.groupBy("s").agg(F.sum("y").alias("y"), F.count("y").alias("n")).collect():  # 2 x BINS rows at most
-        stats[r["s"]["k"] - 1][r["s"]["b"]] = math.log((r["y"] + 1) / (r["n"] - r["y"] + 1))
-    picked = _with_suffix(labelled, stats).orderBy(F.xxhash64("_url"), "_url", "page_id").limit(sample)
-    rows = picked.select(*FEATURES, "y").collect()
-    model = boost([[float(r[c]) for c in FEATURES] for r in rows], [r["y"] for r in rows])
-    odds = model.column()
+        stats[r["s"]["k"] - 1][r["s"]["b"]] = suffix_odds(r["y"], r["n"])
+        sums[r["s"]["k"], r["s"]["b"]] = (r["y"], r["n"])
+    rows = picked(labelled.select("_url", "page_id", *FEATURES[:-2], "bin1", "bin2", "y"), F.xxhash64("_url", "page_id"), sample).collect()
+    rows.sort(key=lambda r: (r["_url"] or "", str(r["page_id"])))
+    x = [[float(r[c]) for c in FEATURES[:-2]] + [suffix_odds(*sums[k, r[f"bin{k}"]], own=r["y"]) for k in (1, 2)] for r in rows]
+    odds = boost(x, [r["y"] for r in rows]).column()
     return _with_suffix(feats, stats).select(
         "page_id",
         "host",

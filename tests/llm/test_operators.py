@@ -5,14 +5,16 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from papyra.llm import audio, neardup, urls
+from papyra.llm import audio, language, neardup, quality, toxicity, urls
 from papyra.llm.decontaminate import decontaminate, leak_report
 from papyra.llm.language import identify_languages
 from papyra.llm.lines import drop_lines, line_bitmaps
@@ -73,6 +75,57 @@ def test_url_trees_match_their_expression(spark):
     assert np.allclose([r[3] for r in rows], entropy)
 
 
+def test_url_verdicts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bins = {r["page_id"]: (r["bin1"], r["bin2"]) for r in urls.lexical(urls.split_urls(pages)).collect()}
+    got = {r["page_id"]: r for r in judge_urls(pages).collect()}
+    rules = sorted(urls.RULES, key=lambda r: -len(r[0]))
+    rows, by_rule = {}, {}
+    for r in pages.select("page_id", "url").collect():
+        u, own = r["url"] or "", got[r["page_id"]]
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = re.match(r"[^/?#]*", rest).group().translate(LOWER)
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        fits = [(n, v) for n, v in rules if ("." + host).endswith("." + n.split("/")[0]) and path.startswith(n[n.index("/") :])]
+        assert (own["host"], own["path"], own["rule"]) == (host, path, fits[0][0] if fits else None)
+        query = u.rsplit("?", 1)[1] if "?" in u else ""
+        entropy = -sum(n / len(u) * math.log2(n / len(u)) for n in Counter(u).values())
+        rows[r["page_id"]] = [len(u), path.count("/"), sum(c in "0123456789" for c in u) / max(len(u), 1), entropy, query.count("="), host.count("."), host.count("-"), len(path)]
+        if fits:
+            by_rule[r["page_id"]] = int(fits[0][1] == "block")
+    sums = [defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])]
+    for i, y in by_rule.items():
+        for k in (0, 1):
+            sums[k][bins[i][k]][0] += y
+            sums[k][bins[i][k]][1] += 1
+    first = {r["page_id"]: r["url"] or "" for r in pages.collect()}
+    learn = sorted(by_rule, key=lambda i: (first[i], str(i)))
+    odds = lambda y, n: math.log((y + 1) / (n - y + 1))
+    own = lambda i, k: odds(sums[k][bins[i][k]][0] - by_rule[i], sums[k][bins[i][k]][1] - 1)
+    model = urls.boost([rows[i] + [own(i, 0), own(i, 1)] for i in learn], [by_rule[i] for i in learn])
+    assert 0 < sum(by_rule.values()) < len(by_rule)
+    for i, r in got.items():
+        p = 1 / (1 + math.exp(-model.of(rows[i] + [odds(*sums[k][bins[i][k]]) if bins[i][k] in sums[k] else 0.0 for k in (0, 1)])))
+        assert math.isclose(r["score"], p, abs_tol=1e-6)
+        assert r["verdict"] == ("block" if by_rule[i] else "allow") if i in by_rule else abs(p - 0.5) < 1e-6 or r["verdict"] == ("block" if p > 0.5 else "allow")
+    # Trees fitted on half of the labelled urls, on the other half.
+    half = [i for k, i in enumerate(learn) if k % 2]
+    trees = urls.boost([rows[i] for i in half], [by_rule[i] for i in half])
+    rest = [i for k, i in enumerate(learn) if not k % 2]
+    right = sum((trees.of(rows[i]) > 0) == by_rule[i] for i in rest)
+    most = max(sum(by_rule[i] for i in rest), sum(1 - by_rule[i] for i in rest))
+    assert right >= most - 0.05 * len(rest)
+
+
+def test_url_ties_and_repeats(spark):
+    rows = [(1, "http://a.net/x")] * 3 + [(2, None)] * 2 + [(None, "http://a.net/x"), (3, "no url"), (4, "http://EXAMPLE.net/en/"), (4, "http://b.org/fr/" + "y" * 50_000)]
+    got = judge_urls(spark.createDataFrame(rows, "page_id INT, url STRING")).collect()
+    assert len(got) == len(rows) and Counter(str((r["page_id"], r["rule"], r["verdict"], r["score"])) for r in got).most_common(1)[0][1] == 3
+    assert {r["rule"] for r in got if r["page_id"] == 4} == {"example.net/en/", "org/fr/"}
+    few = judge_urls(spark.createDataFrame(rows, "page_id INT, url STRING"), sample=2)
+    assert few.count() == len(rows)
+
+
 # 3
 
 
@@ -166,6 +219,41 @@ def test_languages(spark):
     assert sorted((r["doc_id"], r["lang_pred"]) for r in again.collect()) == sorted((r["doc_id"], r["lang_pred"]) for r in got)
 
 
+def test_language_model_by_brute_force(spark):
+    """Grams, weights and cosines in plain Python, with the fitted centroids."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL")
+    model = language.fit_language(docs.where("NOT (crc32(cast(cast(doc_id as string) as binary)) % 3 = 1)").select(F.col("doc_id").alias("id"), "lang", "text"))
+    got = {r["doc_id"]: r for r in identify_languages(docs).collect()}
+
+    def grams(text):
+        b = b" " + b" ".join(bytes(x if x >= 128 or 97 <= x <= 122 else 32 for x in text.lower().encode()).split()) + b" "
+        two = ((b[i] * 0x9E3779B1 + b[i + 1] * 0x85EBCA6B & 0xFFFFFFFF) >> 21 for i in range(len(b) - 1))
+        three = ((b[i] * 0xC2B2AE35 + b[i + 1] * 0x27D4EB2F + b[i + 2] * 0x165667B1 & 0xFFFFFFFF) >> 21 for i in range(len(b) - 2))
+        return Counter([*two, *three])
+
+    learn = [grams(r["text"]) for r in docs.where("lang IS NOT NULL").collect() if not held(r["doc_id"], 3, 1)]
+    df = Counter(k for g in learn for k in g)
+    idf = [math.log((1 + len(learn)) / (1 + df[i])) + 0.1 for i in range(language.DIMS)]
+    assert np.allclose(idf, model.idf, atol=1e-5)
+    for r in docs.orderBy("doc_id").limit(60).collect():
+        v = {k: math.log1p(n) * idf[k] for k, n in grams(r["text"]).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * float(c[k]) for k, x in v.items()) / size for c in model.rows]
+        best = {name: max(x for x, n in zip(cos, model.langs) if n == name) for name in set(model.langs)}
+        top = max(best, key=best.get)
+        score = 1 / sum(math.exp((x - best[top]) / model.temperature) for x in best.values())
+        assert got[r["doc_id"]]["lang_pred"] == top and math.isclose(got[r["doc_id"]]["score"], score, abs_tol=1e-3)
+
+
+def test_language_counts_of_long_texts(monkeypatch):
+    text = "ein ziemlich langer Satz, und noch einer " * 40
+    whole = language.counts([text, "kurz"])
+    monkeypatch.setattr(language, "_PIECE", 100)
+    assert (language.counts([text, "kurz"]) == whole).all() and whole.max() > 100
+    many = language.counts(["aa " * 30_000_0])
+    assert many.max() == 300_000  # more than 16 bits hold
+
+
 def test_languages_awkward(spark):
     got = identify_languages(awkward(spark)).collect()
     assert len(got) == 15 and {r["lang_pred"] for r in got} <= {"und", "en", "de"}
@@ -184,13 +272,34 @@ def test_toxicity(spark):
     toxic = [row(1000 + i, f"a text about thing{i % 7} you {'foulword ' * (1 + i % 4)} nastyone") for i in range(80)]
     docs = awkward(spark, base + toxic)
     labels = spark.createDataFrame([(r[0], 0) for r in base] + [(r[0], 1) for r in toxic[:60]] + [(None, 1), (3, None)], "doc_id BIGINT, toxic INT")
-    got = {r["doc_id"]: r for r in grade_toxicity(docs, labels).collect() if r["doc_id"] is not None}
+    got = {r["doc_id"]: r for r in grade_toxicity(docs, labels, learn=F.lit(True)).collect() if r["doc_id"] is not None}
     assert all(got[r[0]]["toxic"] for r in toxic) and not any(got[r[0]]["toxic"] for r in base) and not got[1]["toxic"] and not got[6]["toxic"]
     assert got[1000]["severity"] < got[1001]["severity"] < got[1003]["severity"] <= 3 and all(0 <= r["grade"] <= 3 for r in got.values())
     assert grade_toxicity(empty(spark), labels).collect() == []
     assert not any(r["toxic"] for r in grade_toxicity(docs, labels.where("toxic = 0")).collect())
 
 
+def test_toxicity_by_brute_force(spark):
+    """Severity from the fitted weights in plain Python; and accuracy on labels that weren't learnt from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    got = {r["doc_id"]: r for r in grade_toxicity(docs, labels).collect()}
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    assert list(model.cuts) == sorted(model.cuts) and len(weight) > 0
+    for r in docs.where("doc_id % 50 = 0").collect():
+        n = Counter()
+        for w in (r["text"] or "").translate(LOWER).encode().translate(bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))).split():
+            n[xxhash.xxh3_64_intdigest(w) % (1 << 20)] += 1
+            if len(w) > 5:
+                n[xxhash.xxh3_64_intdigest(b"^" + w[:5]) % (1 << 20)] += 1
+        x = sum(weight.get(k, 0.0) * math.log1p(c) for k, c in n.items())
+        above = [1 / (1 + math.exp(-max(-60, min(60, x - t)))) for t in model.cuts]
+        assert math.isclose(got[r["doc_id"]]["severity"], sum(above), abs_tol=1e-6) and math.isclose(got[r["doc_id"]]["p_toxic"], above[0], abs_tol=1e-6)
+    far = [(got[r["doc_id"]]["toxic"], r["toxic"] == 1) for r in labels.where("toxic IS NOT NULL").collect() if held(r["doc_id"], 4, 2) and r["doc_id"] in got]
+    assert all(r["held_out"] == held(i, 4, 2) for i, r in got.items())
+    assert sum(a == b for a, b in far) >= 0.97 * len(far) and sum(a and b for a, b in far) >= 0.8 * sum(b for _, b in far) > 0
+
+
 # 6
 
 
@@ -242,13 +351,29 @@ def test_quality(spark):
     assert sum((r["score"] >= 0.5) == (r["quality"] == 1) for r in rows) >= 0.95 * len(rows) and all(r["predicted"] == int(r["score"] >= 0.7) for r in rows)
 
 
+def test_quality_by_brute_force(spark):
+    """The query's scores from a model fitted and applied outside Spark."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    text, y = {r["doc_id"]: r["text"] or "" for r in docs.collect()}, {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    learn = sorted((i, y[i], quality.statistics(text[i].encode())) for i in y if i in text and not held(i, 4, 2))
+    x, t = np.array([v for *_, v in learn]), np.array([v for _, v, _ in learn])
+    m = Discriminant.fit(x, t)
+    for r in quality_scores(docs, labels).collect():
+        z = np.clip((np.array(quality.statistics(text[r["doc_id"]].encode())) - m.center) / m.scale, -8, 8)
+        dens = [-0.5 * ((z - u) @ np.linalg.inv(s)) @ (z - u) - 0.5 * np.linalg.slogdet(s)[1] for u, s in zip(m.means, (np.linalg.inv(f.T @ f) for f in m.factors))]
+        d = min(60, max(-60, dens[1] - dens[0]))
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-(m.slope * d + m.shift))), abs_tol=1e-4)
+
+
 def test_quality_awkward(spark):
     labels = spark.createDataFrame([(1, 1), (5, 0), (20, None), (None, 1)], "doc_id BIGINT, quality INT")
     docs = awkward(spark)
     got = quality_scores(docs, labels).collect()
     assert len(got) == 15 and all(0 <= r["score"] <= 1 and r["held_out"] == held(r["doc_id"], 4, 2) for r in got)
     assert quality_scores(empty(spark), labels).collect() == [] and keep_quality(docs, labels, threshold=0.0).columns == docs.columns
-    assert keep_quality(docs, labels, threshold=0.0).count() == 15 and keep_quality(docs, labels, threshold=1.1).count() == 0
+    assert keep_quality(docs, labels, threshold=1.1).count() == 15  # nothing learnt
+    more = spark.createDataFrame([(1, 1), (4, 1), (3, 0), (8, 0), (9, 1), (7, 0)], "doc_id BIGINT, quality INT")
+    assert keep_quality(docs, more, threshold=0.0).count() == 15 and keep_quality(docs, more, threshold=1.1).count() == 0
 
 
 def test_discriminant_matches_the_formula():
@@ -344,12 +469,21 @@ def test_line_dedup(spark):
 # 10
 
 
+def plain_similarity(a, b, weight):
+    """Weighted Jaccard of two bags of shingles."""
+    both = sum(min(a[x], b[x]) * weight[x] for x in a if x in b)
+    return both / (sum(n * weight[x] for x, n in a.items()) + sum(n * weight[x] for x, n in b.items()) - both)
+
+
 def brute_classes(rows):
-    sets = [neardup.shingles((t or "").encode()) for _, t in rows]
-    df = Counter(int(x) for h, _ in sets for x in np.unique(h & (neardup._CELLS - 1)))
-    idf = np.full(neardup._CELLS, np.log1p(np.float32(len(rows))) + 0.1, np.float32)
-    for c, n in df.items():
-        idf[c] = np.float32(np.log1p(len(rows) / n)) + np.float32(0.1)
+    """Components of all pairs at 0.8 or more, from the words alone."""
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        k = min(5, len(w))
+        sets.append(Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else Counter())
+    df = Counter(x for s in sets for x in s)
+    weight = {x: math.log1p(len(rows) / n) + 0.1 for x, n in df.items()}
     parent = list(range(len(rows)))
 
     def find(i):
@@ -359,8 +493,7 @@ def brute_classes(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            a, b = sets[i], sets[j]
-            if len(a[0]) and len(b[0]) and neardup.jaccard(a[0], neardup._weights(*a, idf), b[0], neardup._weights(*b, idf)) >= 0.8:
+            if sets[i] and sets[j] and plain_similarity(sets[i], sets[j], weight) >= 0.8:
                 parent[find(i)] = find(j)
     members = defaultdict(list)
     for i in range(len(rows)):
@@ -396,13 +529,13 @@ def test_document_frequencies_are_exact(spark):
     rng = np.random.default_rng(6)
     texts = [" ".join(map(str, rng.integers(0, 1 << 40, 40_000))) for _ in range(30)]  # 1.2 million shingles
     texts = [t + " the same passage is at the end of a third of all texts" * (i % 3 == 0) for i, t in enumerate(texts)]
-    blocks, docs = neardup._counted(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id BIGINT, t BIGINT, text STRING").repartition(3))
+    blocks, docs = neardup._counted(spark.createDataFrame([(i, i, i, t) for i, t in enumerate(texts)], "doc_id BIGINT, t BIGINT, u BIGINT, text STRING").repartition(3))
     sets = [neardup.shingles(t.encode()) for t in texts]
     df = Counter(x for h, _ in sets for x in h.tolist())
     assert docs == 30 and max(df.values()) == 10
     got = 0
     for r in blocks.collect():
-        for i, (h, n, w) in zip(r["ids"], neardup._weighted(bytes(r["data"]), r["ends"], r["known"], docs)):
+        for i, (h, n, w) in zip(r["ids"], neardup._weighted(bytes(r["types"]), bytes(r["at"]), r["ends"], r["known"], docs)):
             true = n * (np.log1p(docs / np.array([df[x] for x in h.tolist()])) + 0.1)
             assert (h == sets[i][0]).all() and np.allclose(w, true, rtol=1e-5)
             got += 1
