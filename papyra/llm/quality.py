@@ -2,9 +2,9 @@
 
 Every whole text is turned into a short vector of transformed statistics.  Class means and covariances come from at most
 ``sample`` labelled rows (those with the smallest id hash).  Each covariance is
-shrunk towards the pooled one and that towards a sphere; its Cholesky factor is computed once and goes to the
+shrunk towards the pooled one and that towards a sphere; the inverse of its Cholesky factor is computed once and goes to the
 tasks with the model.  The difference of the two log densities, by Mahalanobis
-distances from triangular solves, is turned into a probability by a logistic
+distances, is turned into a probability by a logistic
 curve fitted on the same rows.
 
 Cases.  Null and empty texts get the statistics of an empty text.  Rows without
@@ -114,16 +114,24 @@ class Discriminant:
         return np.clip(dens[1] - dens[0], -60, 60)
 
     def _calibrate(self, d: np.ndarray, y: np.ndarray) -> None:
-        a, b = 0.1, 0.0
-        for _ in range(50):  # Newton steps of a logistic regression on one number
-            p = 1 / (1 + np.exp(-(a * d + b)))
-            w = np.maximum(p * (1 - p), 1e-9)
-            g = np.array([((p - y) * d).sum() + 1e-3 * a, (p - y).sum()])
-            h = np.array([[(w * d * d).sum() + 1e-3, (w * d).sum()], [(w * d).sum(), w.sum() + 1e-6]])
+        sign = 2.0 * y - 1
+
+        def loss(v: np.ndarray) -> float:
+            return float(np.logaddexp(0, -sign * (v[0] * d + v[1])).sum() + 5e-4 * (v @ v))
+
+        v, now = np.zeros(2), loss(np.zeros(2))
+        for _ in range(100):  # Newton steps of a logistic regression on one number, halved until they help
+            p = 1 / (1 + np.exp(-np.clip(v[0] * d + v[1], -500, 500)))
+            w = p * (1 - p)
+            g = np.array([((p - y) * d).sum(), (p - y).sum()]) + 1e-3 * v
+            h = np.array([[(w * d * d).sum(), (w * d).sum()], [(w * d).sum(), w.sum()]]) + 1e-3 * np.eye(2)
             step = np.linalg.solve(h, g)
-            a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -3, 3))
-            if np.abs(step).max() < 1e-9:
+            while (new := loss(v - step)) > now and np.abs(step).max() > 1e-12:
+                step = step / 2
+            if new > now or now - new < 1e-10 * max(now, 1):
                 break
+            v, now = v - step, new
+        a, b = map(float, v)
         self.slope, self.shift = max(a, 1e-3), b
 
     def score(self, x: np.ndarray) -> np.ndarray:

@@ -351,6 +351,17 @@ def test_quality(spark):
     assert sum((r["score"] >= 0.5) == (r["quality"] == 1) for r in rows) >= 0.95 * len(rows) and all(r["predicted"] == int(r["score"] >= 0.7) for r in rows)
 
 
+def test_calibration_converges():
+    """Whatever the densities, the curve is the best one: nearly separable, few of one class, far out."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(20_000) < 0.865).astype(int)
+    for d in (np.where(y == 1, 55.0, -60.0) + rng.normal(0, 3, len(y)), np.where(y == 1, 20.0, -50.0) * rng.random(len(y)), rng.normal(0, 1e-3, len(y)), np.where(y == 1, 60.0, 60.0 - 100 * rng.random(len(y)))):
+        m = Discriminant(*[np.zeros(1)] * 5)
+        m._calibrate(np.clip(d, -60, 60), y)
+        loss = lambda a, b: np.logaddexp(0, -(2 * y - 1) * (a * np.clip(d, -60, 60) + b)).sum() + 5e-4 * (a * a + b * b)  # noqa: E731, B023
+        assert all(loss(m.slope, m.shift) <= loss(max(1e-3, m.slope * f), m.shift + g) + 0.5 for f in (0.5, 1, 2) for g in (-1, 0, 1))
+
+
 def test_quality_by_brute_force(spark):
     """The query's scores from a model fitted and applied outside Spark."""
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
