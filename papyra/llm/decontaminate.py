@@ -24,6 +24,8 @@ from papyra.llm.common import col, fresh, words
 
 #: The benchmark's windows are broadcast up to this many; beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 50_000
+#: ... and up to so many bytes of words and item ids, at all their places.
+BROADCAST_BYTES = 128 << 20
 #: ASCII characters that are in no word, before A-Z are lower-cased.
 RAW_NON_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 
@@ -81,9 +83,11 @@ def find_leaks(
     """One row per row of documents: doc_id, n_words, spans (array of struct first, last: word
     numbers from 1), items (sorted array of item ids as text)."""
     grams = benchmark_windows(benchmark, item_id, item_text, n)
-    sizes = {r["len"]: r["k"] for r in grams.groupBy("len").agg(F.count(F.lit(1)).alias("k")).collect()}  # n rows at most
+    bytes_ = F.octet_length(F.array_join("gram", " ")) + F.octet_length(F.array_join("items", ","))
+    found = grams.groupBy("len").agg(F.count(F.lit(1)).alias("k"), F.sum(bytes_).alias("bytes")).collect()  # n rows at most
+    sizes = {r["len"]: r["k"] for r in found}
     lengths = [n, *sorted(k for k in sizes if k != n)]
-    few = sum(sizes.values()) <= broadcast_windows
+    few = sum(sizes.values()) <= broadcast_windows and sum(r["bytes"] for r in found) * _block(n)[1] <= BROADCAST_BYTES
 
     docs = documents.select(
         col(doc_id).alias("d"), F.xxhash64(col(text)).alias("t"), once(words(col(text))).alias("w")

@@ -10,7 +10,7 @@ Buckets are never expanded into pairs.  A bucket's members, with their shingles,
 about GROUP to several; there a member is compared with those that aren't in its component
 yet, through an index of the chunk's shingles, and only links that join components come out.  A few bands go first, and buckets
 that they leave in one component aren't looked at again.  In buckets of several chunks, members outside the largest
-component are then copied to every chunk and compared with all of it, in rounds, until no bucket
+component are then copied to every chunk and compared with all of it, in rounds of twice as many each, until no bucket
 holds two components.  So each two nodes of a bucket have been compared, or were in one component already.
 Components come from distributed star contraction.
 
@@ -391,16 +391,23 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         some = _open(members.where((F.col("band") >= lo) & (F.col("band") < hi)), roots)
         add(_links(some.select("bucket", chunk, "fp", "root", F.lit(True).alias("lead")), features, similarity))
     left = members.where(F.col("size") > GROUP)  # compared within chunks only, so far
+    most = GROUP
     while True:
         known = written(_open(left, roots), "open")
         if known.isEmpty():
             break
         # Any two components of a bucket have a member outside the largest: those are the leaders.
-        rank = F.row_number().over(W.partitionBy("bucket").orderBy("fp"))
-        leads = written(known.where("root <> giant").withColumn("k", rank).where(F.col("k") <= GROUP).select("bucket", "size", "fp", "root"), "leaders")
+        # A round takes more of them than the one before, in parts of GROUP; each part meets each chunk.
+        rank = F.row_number().over(W.partitionBy("bucket").orderBy("fp")) - 1
+        leads = known.where("root <> giant").withColumn("k", rank).where(F.col("k") < most)
+        leads = written(leads.select("bucket", "size", "fp", "root", F.floor(F.col("k") / GROUP).cast("int").alias("part")), "leaders")
+        parts = leads.groupBy("bucket").agg(F.max("part").alias("last"))
         chunks = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / GROUP).cast("int") - 1)).alias("chunk")
-        rows = leads.select("bucket", chunks, "fp", "root", F.lit(True).alias("lead")).unionByName(known.select("bucket", chunk, "fp", "root", F.lit(False).alias("lead")))
+        ours = leads.select("bucket", chunks, "part", "fp", "root", F.lit(True).alias("lead"))
+        rest = known.join(parts, "bucket").select("bucket", chunk, F.explode(F.sequence(F.lit(0), "last")).alias("part"), "fp", "root", F.lit(False).alias("lead"))
+        rows = ours.unionByName(rest).withColumn("chunk", F.col("chunk") * F.lit(1 << 31) + F.col("part")).drop("part")
         add(_links(rows, features, similarity))
+        most *= 2
         left = left.join(leads.select("bucket", "fp"), ["bucket", "fp"], "left_anti")
     out = sigs.select("doc_id", "t", "u", "fp").join(roots, F.col("fp") == F.col("node"), "left")
     return out.select("doc_id", "t", "u", "fp", F.coalesce("root", "fp").alias("root"))
