@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from papyra import crypto
 from papyra.operators import predicates as P
 from papyra.operators.query import Query
-from papyra.options import CollectionOptions, Compression, DatabaseOptions
+from papyra.options import AutoSync, CollectionOptions, Compression, DatabaseOptions
 from papyra.sources.collection import Collection, FrameCollection
 from papyra.sources.database import Database
 from papyra.sources.files import scratch_dir
@@ -324,6 +326,141 @@ _add("dynamic_ne", lambda s, sf: _ids(_dynamic(s, sf).find().where("note", not_e
 _add("dynamic_sort", lambda s, sf: _ids(_dynamic(s, sf).find().sort("note").limit(200).to_df()), "SELECT event_id FROM events ORDER BY CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END, event_id LIMIT 200")
 
 
+# ids and partition values of every type, and upkeep
+
+
+def _by_year(spark: SparkSession, sf: str) -> Collection:
+    c = _fresh(spark).collection("orders", "o_orderkey BIGINT, year TIMESTAMP", CollectionOptions("o_orderkey", "year"))
+    c.insert_many(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.date_trunc("year", "o_orderdate").cast("timestamp").alias("year")))
+    return c
+
+
+_add("partition_timestamp", lambda s, sf: _by_year(s, sf).find().where("year", equal_to=dt.datetime(1995, 1, 1)).to_df().select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE year(o_orderdate) = 1995")
+_add("partition_scan_timestamp", lambda s, sf: _by_year(s, sf).scan_partition(dt.datetime(1996, 1, 1)).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE year(o_orderdate) = 1996")
+
+
+def _extremes(spark: SparkSession, sf: str) -> DataFrame:
+    values = (1e-7, 1e20, 0.5, -0.0)
+    c = _fresh(spark).collection("customers", "c_custkey BIGINT, share DOUBLE", CollectionOptions("c_custkey", "share", ("share",)))
+    share = F.element_at(F.array(*map(F.lit, values)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    c.insert_many(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("c_custkey"), share.alias("share")))
+    parts = [c.find().where("share", equal_to=v).to_df().select("c_custkey", F.lit(k).alias("part")) for k, v in enumerate(values)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_add("partition_double_extremes", _extremes, "SELECT c_custkey, (c_custkey % 4)::INT AS part FROM customer")
+
+
+def _timed(spark: SparkSession, sf: str) -> DataFrame:
+    c = _fresh(spark).collection("customers", "at TIMESTAMP, c_custkey BIGINT", CollectionOptions("at"))
+    c.insert_many(spark.read.parquet(f"{sf}/customer.parquet").select(F.timestamp_micros(F.col("c_custkey").cast("bigint") * 1_500_000).alias("at"), "c_custkey"))
+    got = c.get(dt.datetime(1970, 1, 1, 0, 1, 3))  # 42 times 1.5 seconds
+    return spark.createDataFrame([(got["c_custkey"],)], "c_custkey BIGINT")
+
+
+_add("get_timestamp_id", _timed, "SELECT c_custkey FROM customer WHERE c_custkey = 42")
+
+
+def _decimal(spark: SparkSession, sf: str) -> DataFrame:
+    c = _fresh(spark).collection("customers", "id DECIMAL(12,2), c_custkey BIGINT", CollectionOptions("id"))
+    c.insert_many(spark.read.parquet(f"{sf}/customer.parquet").select((F.col("c_custkey") + F.lit(0.5)).cast("decimal(12,2)").alias("id"), "c_custkey"))
+    c.delete(Decimal("7.50"))
+    c.delete_many([8.5, Decimal("9.5")])
+    return c.all().select("c_custkey")
+
+
+_add("delete_decimal_id_state", _decimal, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (7, 8, 9)")
+
+
+def _recovered(spark: SparkSession, sf: str) -> DataFrame:
+    db, c = _customers(spark, sf)
+    c._write(c._frame_of([_NEW]), "rows", c._snapshot.next_seq)  # a write that dies before its commit
+    again = Database(spark, db.path, DatabaseOptions(recovery_grace=0))
+    d = again.collection("customers", _CUSTOMER, CollectionOptions("c_custkey", "c_mktsegment", ("c_nationkey", "c_acctbal")))
+    if d.metrics().shards_recovered_from_dirty != 1:
+        raise AssertionError("the leftover should have been found")
+    return d.all()
+
+
+_add("recover_preserves", _recovered, "SELECT * FROM customer")
+
+
+def _raises(s: SparkSession, c: Collection) -> None:
+    def body(b) -> None:
+        b.insert(_NEW)
+        raise ValueError("the caller's own error")
+
+    try:
+        c.write_batch(body)
+    except ValueError:
+        return
+    raise AssertionError("the error should come through")
+
+
+_state("batch_body_raises_state", "SELECT * FROM customer", _raises)
+_state("batch_of_inserts_state", f"SELECT * FROM customer UNION ALL {_NEW_SQL}", lambda s, c: (c.write_batch(lambda b: None), c.write_batch(lambda b: b.insert(_NEW))))
+
+
+def _dropped(spark: SparkSession, sf: str) -> DataFrame:
+    db, _ = _customers(spark, sf)
+    db.drop("customers")
+    _ignore(lambda: db.drop("customers"))
+    c = db.collection("customers", _CUSTOMER, CollectionOptions("c_custkey"))
+    c.insert_batch(spark.read.parquet(f"{sf}/customer.parquet").where("c_acctbal > 0"))
+    return c.all()
+
+
+_add("drop_and_create_state", _dropped, "SELECT * FROM customer WHERE c_acctbal > 0")
+
+
+def _listed(spark: SparkSession, sf: str) -> DataFrame:
+    db, _ = _customers(spark, sf)
+    db.collection("more", "id INT", CollectionOptions("id"))
+    return spark.createDataFrame([(n,) for n in db.list_collections()], "name STRING")
+
+
+_add("list_collections", _listed, "SELECT * FROM (VALUES ('customers'), ('more')) t(name)")
+
+
+def _fragmented(spark: SparkSession, sf: str) -> DataFrame:
+    db, c = _customers(spark, sf)
+    c.find().where("c_custkey", between=(1, 10)).delete()
+    steps = [c.needs_compaction()]
+    c.delete_rows(c.frame().where("c_custkey % 3 = 0"))
+    steps.append(c.needs_compaction())
+    db.compact()
+    return spark.createDataFrame([(*steps, c.needs_compaction(), c.count())], "few BOOLEAN, many BOOLEAN, after BOOLEAN, documents BIGINT")
+
+
+# Shards of up to 100 documents are left alone: on the smallest tables nothing needs compaction.
+_add("needs_compaction", _fragmented,
+     "SELECT false AS few, coalesce(max(n), 0) > 100 AS many, false AS after, (SELECT count(*) FROM customer WHERE NOT c_custkey BETWEEN 1 AND 10 AND c_custkey % 3 <> 0) AS documents FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment)")
+
+
+def _synced(spark: SparkSession, sf: str) -> DataFrame:
+    db, c = _customers(spark, sf, DatabaseOptions(auto_sync=AutoSync.after_writes(1)))
+    c.delete(5)
+    c.upsert(_NEW)
+    again = Database(spark, db.path)  # without close: from the checkpoint
+    return again.collection("customers", _CUSTOMER, CollectionOptions("c_custkey", "c_mktsegment", ("c_nationkey", "c_acctbal"))).all()
+
+
+_add("auto_sync_state", _synced, f"SELECT * FROM customer WHERE c_custkey <> 5 UNION ALL {_NEW_SQL}")
+
+
+def _streamed_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything that stream() delivers after deletes; the rows are gathered here only to show them as a DataFrame."""
+    _, c = _customers(spark, sf)
+    c.delete_many([1, 2, 3])
+    return spark.createDataFrame(list(c.stream(100)), _CUSTOMER)
+
+
+_add("stream_after_deletes", _streamed_customers, "SELECT * FROM customer WHERE c_custkey NOT IN (1, 2, 3)")
+_find("pred_not_type_mismatch", "nation", "n_nationkey", "", lambda q: q.where(~P.equal("n_nationkey", "5")))
+_add("path_array_out_of_range_not", lambda s, sf: _table(s, sf, "embeddings").find().where_not_exists("embedding.64").to_df().select("vec_id"), "SELECT vec_id FROM embeddings")
+_find("pred_decimal_literal", "orders", _O, "WHERE o_totalprice < 50000.1", lambda q: q.where("o_totalprice", less_than=Decimal("50000.1")))
+
+
 # plans and counters
 
 _PEOPLE = "id BIGINT, name STRING, age BIGINT, country STRING, city STRING"

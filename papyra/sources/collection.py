@@ -39,6 +39,8 @@ INTERNAL = ("_key", "_shard", "_seq")
 LOG = logging.getLogger("papyra")
 #: Documents that stream() asks for at a time, at least, and how often it asks at most.
 FETCH, MAX_PIECES = 4096, 20_000
+#: Bytes of replaced and deleted ids up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 MIN_SLOTS = 100
 REWRITE_SHARE = 0.5
 
@@ -204,7 +206,7 @@ class Collection(Source):
         if not later or not s.segments or min(x.seq for x in s.segments) == max(x.seq for x in later):
             return rows
         dead = self._read(later, self._ids()).groupBy("_key").agg(F.max("_seq").alias("_last")).withColumnRenamed("_key", "_gone")
-        if sum(x.rows for x in later) <= self.options.broadcast_ids:
+        if sum(x.rows for x in later) <= self.options.broadcast_ids and sum(x.key_bytes for x in later) <= BROADCAST_BYTES:
             dead = F.broadcast(dead)
         return rows.join(dead, (F.col("_key") == F.col("_gone")) & (F.col("_seq") < F.col("_last")), "left_anti")
 
@@ -386,17 +388,15 @@ class Collection(Source):
             seen, F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_key").isNull(), 1)).alias("no_id"), F.count(F.when(F.col("_part").isNull(), 1)).alias("no_part"),
         )
         seq = self._snapshot.next_seq
-        segment = self._write(rows.withColumn("_shard", F.coalesce("_shard", F.lit("_"))), kind, seq)
+        segment, twice = self._put(rows.withColumn("_shard", F.coalesce("_shard", F.lit("_"))), kind, seq, keyed=True)
         keys = self._read([segment], self._ids())
         try:
             if seen.get["no_id"]:
                 raise IdFieldMissing(self.id_field)
             if seen.get["no_part"]:
                 raise PartitionKeyMissing(self.partition_key)
-            if segment.rows:
-                twice = keys.groupBy("_key").count().where("count > 1").agg(F.min("_key").alias("k")).first()["k"]
-                if twice is not None:
-                    raise DuplicateId(self._id_text(segment, twice))
+            if twice is not None:
+                raise DuplicateId(self._id_text(segment, twice))
         except PapyraError:
             self._discard(segment)
             raise
@@ -414,6 +414,10 @@ class Collection(Source):
         return T.StructType([f for f in self._stored().fields if f.name in INTERNAL])
 
     def _write(self, rows: DataFrame, kind: str, seq: int) -> Segment:
+        return self._put(rows, kind, seq)[0]
+
+    def _put(self, rows: DataFrame, kind: str, seq: int, keyed: bool = False) -> tuple[Segment, str | None]:
+        """Writes a segment and counts it; keyed: finds a key that it holds twice, too."""
         stored = [f.name for f in self._stored().fields if f.name != "_seq"]
         columns = ["_key", "_shard"] if kind == "tomb" else stored
         segment = Segment(seq, kind, f"r{uuid.uuid4().hex[:12]}")
@@ -424,10 +428,17 @@ class Collection(Source):
                 if self._secret is None and self.schema is not None and f in self.schema.names:
                     writer = writer.option(f"parquet.bloom.filter.enabled#{f}", "true")
         writer.partitionBy("_shard").parquet(self._files.at(name))
-        counts = self.spark.read.schema(self._ids()).option("basePath", self._files.at(f"{self.name}/{DATA}")).parquet(self._files.at(name)).groupBy("_shard").count().collect()
+        back = self.spark.read.schema(self._ids()).option("basePath", self._files.at(f"{self.name}/{DATA}")).parquet(self._files.at(name))
+        if keyed:
+            back = back.groupBy("_key").agg(F.count(F.lit(1)).alias("m"), F.min("_shard").alias("_shard"))
+        n = F.col("m") if keyed else F.lit(1)
+        counts = back.groupBy("_shard").agg(
+            F.sum(n).alias("n"), (F.sum(F.octet_length("_key") * n) if kind != "rows" else F.lit(0)).alias("bytes"), (F.min(F.when(F.col("m") > 1, F.col("_key"))) if keyed else F.lit(None)).alias("twice"),
+        ).collect()
         size = self._files.size(name)
         self.counters.add(bytes_written=size)
-        return replace(segment, shards={r["_shard"]: r["count"] for r in counts}, size=size)
+        segment = replace(segment, shards={r["_shard"]: r["n"] for r in counts}, size=size, key_bytes=sum(r["bytes"] or 0 for r in counts))
+        return segment, min((r["twice"] for r in counts if r["twice"] is not None), default=None)
 
     def _dead(self, keys: DataFrame) -> dict[str, int]:
         """Live rows, by shard, that a write of these keys replaces."""
