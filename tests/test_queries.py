@@ -124,3 +124,45 @@ def test_dynamic_documents(spark, tmp_path):
     assert c.get((1 << 60) + 1)["x"] == 5.0 and c.get(7) is None and c.get("7")["x"] == [1]
     assert sorted(map(str, q.distinct_values("x"))) == sorted(map(str, [None, False, 5, 5.5, "a"])) or len(q.distinct_values("x")) == 5
     assert q.where("x", greater_than=5).count() == 1 and q.where("x", equal_to=None).count() == 1 and q.where("x", not_equal_to=5).count() == 6
+
+
+def test_dynamic_keys_are_computed_once_a_row(spark, tmp_path):
+    c = Database(spark, f"file://{tmp_path}").collection("d", None, CollectionOptions("id", "kind"))
+    c.insert_many([{"id": i, "kind": "a", "x": i % 3} for i in range(9)])
+    plans = [q.to_df() for q in (c.find().sort("x"), c.find().sort("x", ascending=False).offset(1).limit(3))] + [c._routed(c.all())]
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("schemaOfVariant(") <= 2 and plan.count("variant_get(") <= 12
+    assert "variant_get(" not in plans[1]._jdf.queryExecution().executedPlan().toString().split("output=[")[0]
+
+
+def test_dynamic_order_over_all_types(spark, tmp_path):
+    ordered = [False, True, -1e300, -(2**63), -1.5, -0.5, 0, 0.25, 1, 1.5, 2**53, 2**53 + 1, 2**63 - 1, 2.0**63, 1e300, "", "10", "9", "a", "é"]
+    docs = [{"id": n, "x": v} for n, v in enumerate(ordered)]
+    none = [{"id": 100}, {"id": 101, "x": None}, {"id": 102, "x": [1]}, {"id": 103, "x": {"y": 1}}]
+    same = [{"id": True, "x": 1.0}, {"id": "s", "x": 1}, {"id": 0.5, "x": 1}]
+    c = Database(spark, f"file://{tmp_path}").collection("d", None, CollectionOptions("id", "p"))
+    c.insert_many([{**d, "p": d["id"]} for d in reversed(docs + none + same)])
+    at = 8  # of the 1
+    ones = [True, 0.5, at, "s"]
+    q, ids = c.find(), lambda q: [d["doc"].toPython()["id"] for d in q.execute()]
+    up = [100, 101, 102, 103, *range(at), *ones, *range(at + 1, len(ordered))]
+    down = [*reversed(range(at + 1, len(ordered))), *ones, *reversed(range(at)), 100, 101, 102, 103]
+    same_ids = lambda a, b: list(map(repr, map(_plain, a))) == list(map(repr, map(_plain, b)))
+    assert same_ids(ids(q.sort("x")), up) and same_ids(ids(q.sort("x", ascending=False)), down)
+    assert same_ids(ids(q.sort("x").offset(3).limit(12)), up[3:15])
+    assert same_ids(ids(q.sort("x", ascending=False).limit(5)), down[:5])
+    assert all(c.get(d["id"])["p"] == d["id"] for d in docs + none + same)
+    assert q.where("p", equal_to=0.5).count() == 1 and q.where("p", equal_to=True).count() == 1
+
+
+def _plain(value):
+    return float(value) if not isinstance(value, (bool, int, str)) else value
+
+
+def test_dynamic_sort_leaves_the_columns(spark):
+    df = spark.createDataFrame([(1, '{"k": 2}', 7), (2, '{"k": "a"}', 8), (3, '{"k": 1.5}', 9), (4, "{}", 6)], "id BIGINT, props STRING, `_order_KEY` INT")
+    q = FrameCollection(df, json=["props"]).find()
+    for got in (q.sort("props.k"), q.sort("props.k").limit(9)):
+        assert got.to_df().columns == df.columns and [tuple(r)[::2] for r in got.execute()] == [(4, 6), (3, 9), (1, 7), (2, 8)]
+    assert q.sort("props.k", ascending=False).first()["_order_KEY"] == 8
